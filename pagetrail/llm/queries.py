@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm import groupsplit, mixing, packing, tokens, topn
+from pagetrail.llm import groupsplit, mixing, packing, quality, tokens, topn
 from pagetrail.sources.tables import table
 
 CAPACITY = 512
@@ -94,11 +94,32 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_reached(mixed, docs, targets, "source", "size")
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't natural prose."""
+    return _judged(spark, sf_dir).where("kind <> 'prose'").select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of every document and what it is."""
+    return _judged(spark, sf_dir)
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five basic statistics of every document."""
+    docs = quality.statistics(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return docs.select("doc_id", "word_count", "mean_word_length", "symbol_share", "punct_line_share", "common_share")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_ranked": p1_ranked,
     "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
 }
 
 _TOP5 = """
@@ -112,6 +133,9 @@ _SIZE = f"coalesce(len(regexp_extract_all(text, '{tokens.TOKEN}')), 0)"
 _KEY = r"lower(regexp_replace(source, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g'))"
 _HEX = "coalesce(nullif(regexp_replace(regexp_extract({c}, '[0-9a-f]([-_ ]?[0-9a-f]){{31}}'), '[-_ ]', '', 'g'), ''), nullif(trim({c}), ''))"
 
+_SPACE = tokens.SPACE
+_WORDS = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
+
 SQL = {
     "p1_found": _TOP5.format(columns="pool_id, id"),
     "p1_ranked": _TOP5.format(columns="pool_id, id, score, CAST(rank AS INT) AS rank"),
@@ -128,4 +152,15 @@ SELECT first_case_id, case_id FROM f WHERE case_id <> first_case_id""",
 WITH h AS (SELECT {_KEY} AS k, sum({_SIZE}) AS tokens FROM documents GROUP BY 1),
 t AS (SELECT m.source, target_share, max_repeats, coalesce(tokens, 0) AS tokens FROM mix_targets m LEFT JOIN h ON h.k = {_KEY.replace("source", "m.source")})
 SELECT source FROM t WHERE target_share * (SELECT sum(tokens) FROM t) > max_repeats * tokens""",
+    "p9_statistics": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+(?:[''’][\\p{{L}}]+)?') AS ws,
+      list_filter(string_split_regex(t, '\\r\\n|[\\n\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS ls,
+      length(regexp_replace(t, '[\\x09-\\x0d\\x20\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')) AS v FROM d)
+SELECT doc_id, CAST(len(ws) AS DOUBLE) AS word_count,
+  coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS DOUBLE) / nullif(len(ws), 0), 0.0) AS mean_word_length,
+  coalesce(CAST(length(t) - length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\t\\n\\x0b\\f\\r ]+', '', 'g')) AS DOUBLE) / nullif(v, 0), 0.0) AS symbol_share,
+  coalesce(CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…:;。！？]["''”’»)\\]]*\\s*$'))) AS DOUBLE) / nullif(len(ls), 0), 0.0) AS punct_line_share,
+  coalesce(CAST(len(list_filter(ws, lambda x: lower(x) IN ({_WORDS}))) AS DOUBLE) / nullif(len(ws), 0), 0.0) AS common_share
+FROM w""",
 }
