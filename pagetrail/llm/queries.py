@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm import groupsplit, mixing, packing, quality, tokens, topn
+from pagetrail.llm import groupsplit, mixing, packing, quality, residue, tokens, topn
 from pagetrail.sources.tables import table
 
 CAPACITY = 512
@@ -26,6 +26,33 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top5(spark, sf_dir)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and texts of runs and pages as (src, rec_id, field, website, text)."""
+    runs = table(spark, sf_dir, "live_runs", "run_id", "website", "final_text", "final_title")
+    pages = table(spark, sf_dir, "page_snapshots").select("page_id", "website", "page.text")
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in ("final_text", "final_title")]))
+    of_runs = runs.select(F.lit("live_runs").alias("src"), F.col("run_id").alias("rec_id"), "website", pairs)
+    of_pages = pages.select(F.lit("page_snapshots").alias("src"), F.col("page_id").alias("rec_id"), "website", F.lit("page_text").alias("field"), "text")
+    return of_runs.unionByName(of_pages)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with placeholders, filler, error messages or demands to allow scripts."""
+    return residue.residue(_texts(spark, sf_dir)).select("src", "rec_id", "field")
+
+
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases per source, field and kind."""
+    return residue.residue(_texts(spark, sf_dir)).groupBy("src", "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields fit for further use: not null or blank and no case."""
+    texts = _texts(spark, sf_dir).where(F.col("text").rlike(r"(?U)\S"))
+    keys = ["src", "rec_id", "field"]
+    return texts.join(residue.residue(texts).select(*keys), keys, "left_anti").select(*keys, "text")
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "step_cases", "case_id", "task_id", "rerun_of")
     names = [groupsplit.entity_key(F.col(c)) for c in ("task_id", "rerun_of")]
@@ -116,6 +143,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_ranked": p1_ranked,
+    "p2_found": p2_found, "p2_kinds": p2_kinds, "p2_clean": p2_clean,
     "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
