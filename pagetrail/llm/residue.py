@@ -146,7 +146,7 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
     """
     rows = fields.select("src", "rec_id", "field", F.coalesce("website", F.lit("")).alias("website"), F.col("text").alias("t")).where(F.col("t").rlike(r"(?U)\S"))
     named = F.regexp_replace("t", MENTION, " ")
-    holds = named.rlike(PLACEHOLDER)
+    holds = F.when(F.col("t").rlike(r"[{\[<%@_$]"), named.rlike(PLACEHOLDER)).otherwise(False)
     is_title = F.col("field").endswith("title")
     parts = F.when(is_title, F.split("t", r" [|·–—-] ")).otherwise(F.split("t", r"\R"))
     parts = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
@@ -169,7 +169,9 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
         )
 
     placeholders = rows.where("holds").select("src", "rec_id", "field", F.lit("placeholder").alias("kind"))
-    lined = rows.where("not holds").withColumn("kinds", F.transform("parts", judged))
+    # most fields are settled by their longest line, so the rules run over all lines of the others only
+    longest = F.array_max(F.transform("parts", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    lined = rows.where(~F.col("holds") & (judged(longest) != "content")).withColumn("kinds", F.transform("parts", judged))
     messages = ("scripts", "error", "filler")
     suspects = lined.where(F.exists("kinds", lambda k: k.isin(*messages)) & ~F.exists("kinds", lambda k: k == "content"))
     # short lines beside a message must be menu words, that is, recur on many websites; a title may end in its site's name
@@ -194,7 +196,7 @@ def _recurring(rows: DataFrame, wide_share: float) -> DataFrame:
     A line is counted once per website: first per (hash, website), then per hash, both with map-side combining.
     """
     lines = rows.select("website", F.explode(F.array_distinct("parts")).alias("line")).where(F.regexp_count("line", F.lit(r"\S+")) <= 4)
-    once = lines.where(~F.col("line").rlike(r"\d")).select(F.xxhash64(normalised(F.col("line"))).alias("h"), "website").distinct()
+    once = lines.where(~F.col("line").rlike(r"\d")).distinct().select(F.xxhash64(normalised(F.col("line"))).alias("h"), "website").distinct()
     n_sites = rows.select("website").distinct().count()
     least = max(2, int(wide_share * n_sites))
     return once.groupBy("h").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least)
