@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm import groupsplit, mixing, packing, quality, residue, tokens, topn
-from pagetrail.sources.tables import table
+from pagetrail.llm import groupsplit, mixing, overlap, packing, quality, residue, tokens, topn
+from pagetrail.sources.tables import nested_table, table
 
 CAPACITY = 512
 
@@ -53,6 +53,28 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(residue.residue(texts).select(*keys), keys, "left_anti").select(*keys, "text")
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks = spark.read.parquet(f"{sf_dir}/tasks.parquet")
+    train = (F.col("split") == "train").alias("train")
+    goals = overlap.same_requests(tasks.select(F.col("task_row").alias("row_id"), train, F.col("confirmed_task").alias("text")))
+    shown = nested_table(spark, sf_dir, "tasks", {"task_row", "split", "actions", "cleaned_html"})
+    pages = overlap.same_pages(shown.select(F.col("task_row").alias("row_id"), train, F.col("actions.cleaned_html").alias("pages")))
+    return goals.select(F.lit("confirmed_task").alias("field"), "row_a", "row_b").unionByName(pages.select(F.lit("cleaned_html").alias("field"), "row_a", "row_b"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training row and another row with the same request or page."""
+    return _overlaps(spark, sf_dir)
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and website: pairs, and evaluation rows that have any."""
+    tasks = table(spark, sf_dir, "tasks", "task_row", "split", "website")
+    rows = tasks.where("split is not null").where("split <> 'train'")
+    pairs = _overlaps(spark, sf_dir).select("field", F.explode(F.array("row_a", "row_b")).alias("task_row"))
+    return pairs.join(rows, "task_row").groupBy("field", "split", "website").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("task_row").alias("n_rows"))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "step_cases", "case_id", "task_id", "rerun_of")
     names = [groupsplit.entity_key(F.col(c)) for c in ("task_id", "rerun_of")]
@@ -144,6 +166,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_ranked": p1_ranked,
     "p2_found": p2_found, "p2_kinds": p2_kinds, "p2_clean": p2_clean,
+    "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
