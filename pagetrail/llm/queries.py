@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrail.llm import groupsplit, mixing, overlap, packing, quality, residue, tokens, topn
+from pagetrail.llm import groupsplit, mixing, overlap, packing, quality, residue, tokens, topn, truncation
 from pagetrail.sources.tables import nested_table, table
 
 CAPACITY = 512
@@ -53,6 +53,32 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join(residue.residue(texts).select(*keys), keys, "left_anti").select(*keys, "text")
 
 
+FIELDS = ("label", "hints", "value")
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "candidates", "cand_row", "source", *FIELDS), "cand_row", "source", FIELDS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortened fields."""
+    return _cuts(spark, sf_dir).where("cut").select(F.col("key").alias("cand_row"), "field")
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source and field: texts, shortened ones and their share."""
+    per = _cuts(spark, sf_dir).groupBy("source", "field").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut"))
+    return per.withColumn("share", F.try_divide("n_cut", "n_texts"))
+
+
+def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storage limits that the lengths expose."""
+    rows = table(spark, sf_dir, "candidates", "source", *FIELDS)
+    long = rows.select("source", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])))
+    long = long.where(F.col("text").rlike(r"(?U)\S")).select("source", "field", *[c.alias(e) for e, c in truncation.encoded_lengths(F.col("text")).items()])
+    return truncation.storage_limits(long).select("source", "field", "encoding", "limit")
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = spark.read.parquet(f"{sf_dir}/tasks.parquet")
     train = (F.col("split") == "train").alias("train")
@@ -166,6 +192,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_ranked": p1_ranked,
     "p2_found": p2_found, "p2_kinds": p2_kinds, "p2_clean": p2_clean,
+    "p3_found": p3_found, "p3_shares": p3_shares, "p3_limits": p3_limits,
     "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
     "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill,
