@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetrail.plans import nested
+from pagetrail.plans import nested, pools, pools_sql
 
-QUERIES = {**nested.QUERIES}
-SQL = {**nested.SQL}
-FLAGSHIP = nested.p4_found
+QUERIES = {**nested.QUERIES, **pools.QUERIES}
+SQL = {**nested.SQL, **pools_sql.SQL}
+FLAGSHIP = pools.shortlist_top20
