@@ -71,3 +71,27 @@ def distributed_rank(df: DataFrame, group: Sequence[str], key: Column, buckets:
     within = Window.partitionBy(*group, "_b").orderBy("_k")
     ranked = b.withColumn("_r", F.row_number().over(within))
     return ranked.join(offsets, [*group, "_b"]).select(*cols, (F.col("_r") + F.col("_o")).alias(name))
+
+
+def running_sums(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], descending: bool = False, buckets: int = 1024) -> DataFrame:
+    """Adds ``<c>_upto`` for every c of ``sums``: its sum over rows of the group up to this row's ``value``, ties included once.
+
+    ``df`` has one row per (group, value); values are numbers without null and NaN. The range of a group's
+    values is cut into ``buckets``; sums run within a bucket, and the totals of earlier buckets are added, so
+    no group is ordered in one task.
+    """
+    sign = -1 if descending else 1
+    o = df.withColumn("_v", F.col(value).cast("double") * sign)
+    if by:
+        o = o.join(o.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), list(by))
+    else:
+        span = o.agg(F.min("_v"), F.max("_v")).first()
+        o = o.withColumn("_lo", F.lit(span[0] or 0.0)).withColumn("_hi", F.lit(span[1] or 0.0))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    o = o.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
+    totals = o.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))])
+    within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    o = o.select("*", *[F.sum(c).over(within).alias(f"_w{i}") for i, c in enumerate(sums)]).join(starts, [*by, "_b"])
+    return o.select(*df.columns, *[(F.col(f"_w{i}") + F.col(f"_s{i}")).alias(f"{c}_upto") for i, c in enumerate(sums)])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetrail.plans import nested, pools, pools_sql
+from pagetrail.plans import nested, pools, pools_sql, runs, runs_sql
 
-QUERIES = {**nested.QUERIES, **pools.QUERIES}
-SQL = {**nested.SQL, **pools_sql.SQL}
+QUERIES = {**nested.QUERIES, **pools.QUERIES, **runs.QUERIES}
+SQL = {**nested.SQL, **pools_sql.SQL, **runs_sql.SQL}
 FLAGSHIP = pools.shortlist_top20
