@@ -35,15 +35,11 @@ LATIN = (
     "voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt "
     "mollit anim id est laborum"
 ).split()
-_LATIN = "(?:" + "|".join(sorted(set(LATIN))) + ")"
 
 _PART = r"(?:headline|heading|title|text|name|content|copy|description|tagline|slogan|caption|image|logo|paragraph)"
 FILLER = "|".join(
     [
-        rf"^{_LATIN}(?:[\s,.;]+{_LATIN})+[.…]?$",
-        r"^(?:x{2,}[\s.,-]*)+$",
         r"\b(?:asdf|qwertz?|jklö)\b.*\b(?:asdf|jklö|qwertz?)\b|^asdf\b",
-        r"^(\w+(?:\s\w+){0,3})(?:[\s,;.]+\1){1,}[.]?$",
         rf"\b{_PART} (?:goes|go|comes) here\b",
         rf"^(?:insert|enter|add|type|edit) (?:your )?{_PART}(?: here)?\W*$",
         r"\breplace this (?:paragraph|text|line|section|sentence)\b|\b(?:please )?change me\b",
@@ -123,9 +119,9 @@ NARRATIVE = (
 def normalised(line: Column) -> Column:
     """A line in lower case with placeholders, addresses, dates, hex ids and numbers masked and white space squashed."""
     masked = F.regexp_replace(line, PLACEHOLDER, "‹p›")
-    masked = F.regexp_replace(F.lower(masked), r"https?://\S+|[\w.+-]+@[\w-]+\.[\w.]+|\b[\w-]+\.(?:example|test|invalid|com|org|net)\b\S*", "‹u›")
+    masked = F.regexp_replace(F.lower(masked), r"https?://\S+|\b[\w.+-]{1,64}@[\w-]{1,63}\.[\w.]+|\b[\w-]{1,63}\.(?:example|test|invalid|com|org|net)\b\S*", "‹u›")
     masked = F.regexp_replace(masked, r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "‹d›")
-    masked = F.regexp_replace(masked, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "‹h›")
+    masked = F.regexp_replace(masked, r"\b(?=[0-9a-f]{0,63}\d)[0-9a-f]{6,}\b", "‹h›")
     masked = F.regexp_replace(masked, r"\d+", "0")
     return F.trim(F.regexp_replace(masked, r"(?U)\s+", " "))
 
@@ -155,6 +151,15 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
     def words(x: Column) -> Column:
         return F.regexp_count(x, F.lit(r"\S+"))
 
+    def filler(low: Column) -> Column:
+        # word sets instead of repeated groups: a regular expression would recurse once per word
+        ws = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        n, kinds = F.size(ws), F.size(F.array_distinct(ws))
+        latin = (n > 1) & F.forall(ws, lambda w: w.isin(LATIN))
+        again = (kinds <= 4) & (n >= kinds * 2) & ~low.rlike(r"\d")
+        crosses = low.rlike(r"^[x\s.,-]+$") & F.contains(low, F.lit("xx"))
+        return latin | again | crosses | low.rlike(FILLER)
+
     def judged(x: Column) -> Column:
         low = F.lower(x)
         own = words(x) <= most_words
@@ -162,7 +167,7 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
         return (
             F.when(own & plain & low.rlike(SCRIPTS), F.lit("scripts"))
             .when(own & plain & low.rlike(ERROR), F.lit("error"))
-            .when(plain & low.rlike(FILLER), F.lit("filler"))
+            .when(plain & filler(low), F.lit("filler"))
             .when(low.rlike(EXTRA), F.lit("extra"))
             .when((words(x) <= 4) & ~x.rlike(r"\d|[.!?]$"), F.lit("short"))
             .otherwise(F.lit("content"))

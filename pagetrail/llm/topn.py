@@ -36,16 +36,17 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, ties: Sequ
         counted = counted.where(F.col(score).isNotNull() & ~F.isnan(score))
         return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
-    hot = hot_keys(df, group, hot_rows).collect()
+    hot = hot_keys(df, group, hot_rows, nulls=True).collect()
     if not hot:
         return local(rows.repartition(group), group).select(*columns, "rank")
-    is_hot = F.coalesce(F.col(group).isin([r[group] for r in hot]), F.lit(False))
+    values = [r[group] for r in hot if r[group] is not None]
+    is_hot = F.coalesce(F.col(group).isin(values), F.lit(len(values) < len(hot)))
     cold = local(rows.where(~is_hot).repartition(group), group)
     size = hot_limit(0, hot_rows)
-    salts = df.sparkSession.createDataFrame([(r[group], -(-r["n"] // size)) for r in hot], f"`{group}` {dict(df.dtypes)[group]}, _salts long")
-    spread = rows.where(is_hot).join(F.broadcast(salts), group).withColumn("_salt", F.pmod(F.xxhash64(item), F.col("_salts")))
-    parts = local(spread.repartition(group, "_salt"), group, "_salt")
-    bounds = parts.where(F.col("rank") == n).groupBy(group).agg(F.max(score).alias("_bound"))
-    survivors = parts.join(F.broadcast(bounds), group, "left").where(F.col("_bound").isNull() | (F.col(score) >= F.col("_bound")))
+    salts = df.sparkSession.createDataFrame([(r[group], -(-r["n"] // size)) for r in hot], f"_group {dict(df.dtypes)[group]}, _salts long")
+    spread = rows.where(is_hot).join(F.broadcast(salts), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_salt", F.pmod(F.xxhash64(item), F.col("_salts")))
+    parts = local(spread.drop("_group").repartition(group, "_salt"), group, "_salt")
+    bounds = parts.where(F.col("rank") == n).groupBy(F.col(group).alias("_group")).agg(F.max(score).alias("_bound"))
+    survivors = parts.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_group")), "left").where(F.col("_bound").isNull() | (F.col(score) >= F.col("_bound")))
     ranked = survivors.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
     return cold.select(*columns, "rank").unionByName(ranked.select(*columns, "rank"))

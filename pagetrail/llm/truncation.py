@@ -42,7 +42,7 @@ def storage_limits(texts: DataFrame, least_rows: int = 6, spike: float = 4.0, be
 
     ``texts`` has source, field and the six lengths. A length is a limit if it holds at least ``spike`` times
     the rows of the lengths a little below it (and ``least_rows``), and next to nothing (``beyond`` of it) is
-    longer. The encoding with the clearest spike wins. ``lengths`` are the limit and those up to three below
+    longer. The encoding with the clearest spike wins; of spikes within 5 % of it, that of the simplest encoding. ``lengths`` are the limit and those up to three below
     it that stand out too: cut texts that lost a trailing space or half a character. Only counts per length
     are shuffled.
     """
@@ -55,7 +55,9 @@ def storage_limits(texts: DataFrame, least_rows: int = 6, spike: float = 4.0, be
     near = F.collect_list(F.struct("len", "n")).over(w.rangeBetween(-3, 0))
     found = by_len.select("*", below.alias("below"), above.alias("above"), near.alias("near"))
     found = found.where((F.col("len") > 15) & (F.col("n") >= F.greatest(F.lit(least_rows), F.col("below") * spike)) & (F.col("above") <= F.col("n") * beyond))
-    best = Window.partitionBy("source", "field").orderBy(F.desc(F.col("n") - F.col("below")), "place")
+    rise = F.col("n") - F.col("below")
+    found = found.withColumn("top", F.max(rise).over(Window.partitionBy("source", "field"))).where(rise >= 0.95 * F.col("top"))
+    best = Window.partitionBy("source", "field").orderBy("place", F.desc(rise))
     lengths = F.transform(F.filter("near", lambda x: x["n"] >= F.greatest(F.lit(3), F.col("below") * 2.5)), lambda x: x["len"])
     return found.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("source", "field", "encoding", F.col("len").alias("limit"), lengths.alias("lengths"))
 
