@@ -16,12 +16,12 @@ def hot_limit(total: int, least_rows: int) -> int:
     return max(least_rows, total // MAX_HOT)
 
 
-def hot_keys(df: DataFrame, key: str, least_rows: int = 20_000) -> DataFrame:
-    """``(key, n)`` for keys with more rows than ``hot_limit``; never more than MAX_HOT rows. Nulls are no key.
+def hot_keys(df: DataFrame, key: str, least_rows: int = 20_000, nulls: bool = False) -> DataFrame:
+    """``(key, n)`` for keys with more rows than ``hot_limit``; never more than MAX_HOT rows. Null is a key only with ``nulls``.
 
     One count per key with map-side combining; only the hot ones reach the driver.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_rows)
+    counts = (df if nulls else df.where(F.col(key).isNotNull())).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_rows)
     found = counts.orderBy(F.desc("n"), key).limit(MAX_HOT).collect()
     if found:
         limit = hot_limit(df.count(), least_rows)
