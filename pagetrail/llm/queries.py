@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.llm import groupsplit, mixing, overlap, packing, quality, residue, tokens, topn, truncation
@@ -122,8 +122,8 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, groups and shares per split."""
     split = groupsplit.assign_splits(_members(spark, sf_dir), "first", table(spark, sf_dir, "split_targets"))
     per = split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("record") == F.col("first")).alias("n_groups"))
-    total = per.agg(F.sum("n_rows").alias("n_all"))
-    return per.join(F.broadcast(total)).select("split", "n_rows", "n_groups", F.try_divide("n_rows", "n_all").alias("share"))
+    # one row per split, so the window over all of them is small
+    return per.withColumn("share", F.try_divide("n_rows", F.sum("n_rows").over(Window.partitionBy(F.lit(1)))))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
