@@ -55,16 +55,19 @@ def role_prior(role: Column) -> Column:
     return out
 
 
-def page_positions(pool: DataFrame, group: str, order: Column, tie: Column, buckets: int = 64) -> DataFrame:
+def page_positions(pool: DataFrame, group: str, order: Column, tie: Column, buckets: int | None = None) -> DataFrame:
     """Adds ``i`` (0-based place in the pool by ``order``, nulls last, then ``tie``) and ``n`` (size of the pool).
 
     A pool of any size is ordered without sorting it in one task: its range of ``order`` is cut into buckets,
-    rows are numbered within a bucket, and the sizes of earlier buckets are added.
+    rows are numbered within a bucket, and the sizes of earlier buckets are added. By default there are 16
+    buckets and one more per 100,000 rows of the table.
     """
     cols = pool.columns
+    rows = pool.count() if buckets is None else None
+    buckets = buckets or 16 + rows // 100_000
     o = pool.withColumn("_o", order.cast("double")).withColumn("_tie", tie)
     span = o.groupBy(group).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-    o = skew_join(o, span, group)
+    o = skew_join(o, span, group, rows=rows)
     place = F.floor((F.col("_o") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
     o = o.withColumn("_b", F.coalesce(place, F.lit(buckets)).cast("int"))
     counts = o.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))

@@ -47,8 +47,9 @@ def shard(df: DataFrame, order: str, world: int, rank: int) -> DataFrame:
     return _placed(df, order).where((F.col("_place") < n) & (F.col("_place") % world == rank)).drop("_place")
 
 
-def _placed(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    span = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi")).first()
+def _placed(df: DataFrame, order: str) -> DataFrame:
+    span = df.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    buckets = min(10_000, 16 + span["n"] // 100_000)
     lo, width = span["lo"] or 0.0, ((span["hi"] or 0.0) - (span["lo"] or 0.0)) + 1.0
     b = df.withColumn("_b", F.floor((F.col(order).cast("double") - lo) / width * buckets).cast("int"))
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
