@@ -106,7 +106,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def page_signature(words: list[str], hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, hashes of the words with their how-manieth occurrence) of one page's words."""
+    """(band keys, hashes of the words with their how-manieth occurrence) of one page's words, 32 bits each."""
     if len(hashes) > 500_000:
         hashes.clear()
     ids = np.empty(len(words), np.uint64)
@@ -126,10 +126,10 @@ def page_signature(words: list[str], hashes: dict[str, int]) -> tuple[np.ndarray
     start = np.r_[True, s[1:] != s[:-1]]
     nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
     bag = _mix(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return bands.view(np.int64), bag.view(np.int64)
+    return (bands >> np.uint64(32)).astype(np.uint32).view(np.int32), (bag >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-_PAGES = "row_id long, train boolean, pid string, bands array<long>, bag array<long>"
+_PAGES = "row_id long, train boolean, pid binary, bands array<int>, bag array<int>"
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +142,7 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words = visible_words(page)
                 if not words:
                     continue
-                pid = hashlib.md5(" ".join(words).encode()).hexdigest()
+                pid = hashlib.md5(" ".join(words).encode()).digest()
                 if pid not in seen:
                     seen.add(pid)
                     out.append((row_id, train, pid, *page_signature(words, hashes)))
@@ -185,13 +185,13 @@ def same_pages(rows: DataFrame, least_agree: float = 0.9) -> DataFrame:
     other = member.where("not train").select(F.col("pid").alias("pid_e"), F.col("row_id").alias("eval_row"))
     exact = _across(train, other, F.col("pid_t") == F.col("pid_e"))
 
-    pages = shown.groupBy("pid").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"), F.first("bands").alias("bands"), F.first("bag").alias("bag"))
-    pages = cut(pages)
-    buckets = pages.select("pid", "in_train", "in_eval", F.posexplode("bands").alias("band", "key"))
-    t = buckets.where("in_train").select("band", "key", F.col("pid").alias("pid_t"))
-    e = buckets.where("in_eval").select("band", "key", F.col("pid").alias("pid_e"))
-    candidates = t.join(e, ["band", "key"]).where("pid_t <> pid_e").select("pid_t", "pid_e").distinct()
-    bags = pages.select("pid", "bag")
+    # each page once per side; the words are fetched only for pages that share a band
+    sides = shown.select("train", "pid", "bands").dropDuplicates(["train", "pid"]).select("train", "pid", F.posexplode("bands").alias("band", "key"))
+    t = sides.where("train").select("band", "key", F.col("pid").alias("pid_t"))
+    e = sides.where("not train").select("band", "key", F.col("pid").alias("pid_e"))
+    candidates = cut(t.join(e, ["band", "key"]).where("pid_t <> pid_e").select("pid_t", "pid_e").distinct())
+    wanted = candidates.select(F.col("pid_t").alias("pid")).union(candidates.select("pid_e")).distinct()
+    bags = cut(shown.join(wanted, "pid", "left_semi").select("pid", "bag").dropDuplicates(["pid"]))
     both = candidates.join(bags.select(F.col("pid").alias("pid_t"), F.col("bag").alias("bag_t")), "pid_t")
     both = both.join(bags.select(F.col("pid").alias("pid_e"), F.col("bag").alias("bag_e")), "pid_e")
     agree = F.size(F.array_intersect("bag_t", "bag_e")) / F.greatest(F.size("bag_t"), F.size("bag_e"))
