@@ -64,6 +64,8 @@ def storage_limits(texts: DataFrame, least_rows: int = 6, spike: float = 4.0, be
 
 #: A mark that a cut may leave.
 MARK = r"(?:…|\.\.\.)$"
+#: A sentence that ended, or a colon, before more text.
+SENTENCE = r"[.?!:] \S"
 _TERMINAL = r"[.?!。！？][\"'”’»)\]]*$"
 
 
@@ -94,8 +96,8 @@ def truncated(df: DataFrame, key: str, source: str, fields: Sequence[str], usual
     endings are inspected. A text at its source's limit is cut unless it ends as complete texts do. Any other
     text is cut if it ends in a half character, in an unclosed JSON value, inside a URL's last parameter, in a
     sentence without its end, in a phrase, word or number form that no complete text ends with. What endings
-    are usual is counted over all texts that aren't at a limit: at least ``usual`` of the field's texts (three
-    at least) end so. Dots at the end alone say nothing, as pages write them too.
+    are usual is counted over all texts that aren't at a limit: as many as ``usual`` of all the field's texts
+    (three at least) must end so. Dots at the end alone say nothing, as pages write them too.
 
     Null and blank texts are left out; a null source is a source of its own; repeated rows are judged alike;
     other columns are ignored; an empty table gives no rows.
@@ -111,16 +113,21 @@ def truncated(df: DataFrame, key: str, source: str, fields: Sequence[str], usual
     form = F.when(F.col("text").rlike(r"^\s*[{\[]"), "json").when(F.contains("text", F.lit("://")) & F.col("text").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "url").otherwise("text")
     told = told.withColumn("bare", F.when(marked, F.regexp_replace("text", MARK, "")).otherwise(F.col("text"))).withColumn("form", form)
     told = told.select("key", "source", "field", "text", "limited", "bare", *[c.alias(n) for n, c in _parts(F.col("text")).items()])
-    whole = F.when(F.regexp_count("text", F.lit(r"\S+")) <= 4, F.col("text"))
-    told = told.withColumn("whole", whole)
+    whole = F.when(F.substring_index("text", " ", 4) == F.col("text"), F.col("text"))
+    told = told.withColumn("whole", whole).withColumn("lower_end", F.col("last").rlike(r"^[\p{Ll}]|^[^\p{L}\p{N}]*$|[\p{Ll}][(/-]$"))
+    told = told.withColumn("marked", F.endswith("text", F.lit("…")) | F.endswith("text", F.lit("...")))
 
     # frequencies of endings among texts that aren't at a limit
     kinds = {"url": F.when(F.col("form") == "url", F.col("last_field")), "tail": F.col("tail"), "word": F.col("last"), "whole": F.col("whole"), "shape": F.col("shape")}
     kinds = {k: v if k == "url" else F.when(F.col("form") == "text", v) for k, v in kinds.items()}
     free = told.where("not limited")
-    endings = free.select("field", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])))
+    # a piece is counted only where a text's judgement may ask for it
+    open_end = ~F.col("terminal") | F.col("marked")
+    doubtful = open_end & (F.col("lower_end") | F.col("shape").isNotNull() | F.col("tail").isNotNull() | F.col("marked") | F.col("bare").rlike(SENTENCE))
+    asked = {"url": F.lit(True), "tail": open_end, "word": open_end & F.col("lower_end"), "whole": doubtful, "shape": open_end}
+    endings = free.select("field", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(asked[k], v).alias("value")) for k, v in kinds.items()])))
     counted = endings.where("value is not null").groupBy("field", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = free.groupBy("field").agg(F.count(F.lit(1)).alias("all"))
+    sizes = rows.groupBy("field").agg(F.count(F.lit(1)).alias("all"))
     common = counted.join(F.broadcast(sizes), "field").where(F.col("n") >= F.greatest(F.lit(3), F.col("all") * usual))
     # fewer than 1/usual endings of a kind can be that usual, so the sets below are bounded
     known: dict[str, dict[str, dict[str, int]]] = {f: {k: {} for k in kinds} for f in fields}
@@ -144,9 +151,7 @@ def truncated(df: DataFrame, key: str, source: str, fields: Sequence[str], usual
 
 def _is_cut(usual_end) -> Column:
     text, bare, form, limited = F.col("text"), F.col("bare"), F.col("form"), F.col("limited")
-    marked = text.rlike(MARK)
-    lower_end = F.col("last").rlike(r"^[\p{Ll}]|^[^\p{L}\p{N}]*$|[\p{Ll}][(/-]$")
-    sentence = bare.rlike(r"[.?!:] \S")
+    marked, lower_end, sentence = F.col("marked"), F.col("lower_end"), bare.rlike(SENTENCE)
     url_ok = usual_end("url")
     phrase = F.col("tail").isNotNull()
     function_word = F.lower(F.col("last")).isin(COMMON_WORDS)
