@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.keys import bounded_broadcast_join
+from pagetrail.session import cut
 
 _NAME = r"[A-Za-z_][\w.-]*"
 #: An unfilled placeholder of a template language: delimiters around a name or a short expression.
@@ -146,10 +147,11 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
     is_title = F.col("field").endswith("title")
     parts = F.when(is_title, F.split("t", r" [|·–—-] ")).otherwise(F.split("t", r"\R"))
     parts = F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    rows = rows.select("src", "rec_id", "field", "website", "t", holds.alias("holds"), is_title.alias("is_title"), parts.alias("parts"))
+    # by way of a generator lines are split once: filters on them aren't pushed below and repeated
+    rows = rows.select("src", "rec_id", "field", "website", F.inline(F.array(F.struct(holds.alias("holds"), is_title.alias("is_title"), parts.alias("parts")))))
 
     def words(x: Column) -> Column:
-        return F.regexp_count(x, F.lit(r"\S+"))
+        return F.size(F.split(x, " "))
 
     def filler(low: Column) -> Column:
         # word sets instead of repeated groups: a regular expression would recurse once per word
@@ -176,7 +178,8 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
     placeholders = rows.where("holds").select("src", "rec_id", "field", F.lit("placeholder").alias("kind"))
     # most fields are settled by their longest line, so the rules run over all lines of the others only
     longest = F.array_max(F.transform("parts", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    lined = rows.where(~F.col("holds") & (judged(longest) != "content")).withColumn("kinds", F.transform("parts", judged))
+    lined = rows.where(~F.col("holds") & (judged(longest) != "content"))
+    lined = lined.select("src", "rec_id", "field", "is_title", "parts", F.inline(F.array(F.struct(F.transform("parts", judged).alias("kinds")))))
     messages = ("scripts", "error", "filler")
     suspects = lined.where(F.exists("kinds", lambda k: k.isin(*messages)) & ~F.exists("kinds", lambda k: k == "content"))
     # short lines beside a message must be menu words, that is, recur on many websites; a title may end in its site's name
@@ -188,7 +191,7 @@ def residue(fields: DataFrame, wide_share: float = 0.02, most_words: int = 40) -
     alone = suspects.where(F.size("other") == 0).select("src", "rec_id", "field", "kind")
     open_lines = suspects.where(F.size("other") > 0).select("src", "rec_id", "field", "kind", spare.alias("spare"), F.explode("other").alias("line"))
     open_lines = open_lines.withColumn("h", F.xxhash64(normalised(F.col("line"))))
-    recurring = _recurring(rows.where("not is_title"), wide_share)
+    recurring = cut(_recurring(rows.where("not is_title"), wide_share))
     told = bounded_broadcast_join(open_lines, recurring, ["h"])
     menus = told.groupBy("src", "rec_id", "field", "kind").agg(F.count_if(F.col("sites").isNull()).alias("foreign"), F.max("spare").alias("spare"))
     menus = menus.where("foreign <= spare")
