@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,8 @@ FEATURES = (
 )
 
 
-def statistics(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """``(doc, blank, *FEATURES)`` for every row, all native expressions over the whole text.
+def statistics(df: DataFrame, doc: str, text: str, only: Sequence[str] = FEATURES) -> DataFrame:
+    """``(doc, blank, *only)`` for every row, all native expressions over the whole text.
 
     Words are runs of letters, digits, underscores and inner apostrophes. Shares are of visible characters
     (symbol, digit, odd), of non-blank lines (punct, bullet, delimiter) or of words (common, capital,
@@ -53,23 +54,24 @@ def statistics(df: DataFrame, doc: str, text: str) -> DataFrame:
     folded = F.transform("_w", F.lower)
     length = F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w))
     longest = F.aggregate(F.split("_t", r"(?U)\s+"), F.lit(0), lambda a, w: F.greatest(a, F.length(w)))
-    return seen.select(
-        doc,
-        "blank",
+    out = [
         nw.cast("double").alias("word_count"),
         share(length, nw).alias("mean_word_length"),
         share(chars(r"[^\p{L}\p{N}\p{M}\s]+"), F.col("_v")).alias("symbol_share"),
         lines_like(r"[.!?…:;。！？][\"'”’»)\]]*\s*$").alias("punct_line_share"),
         share(F.size(F.filter(folded, lambda w: w.isin(COMMON_WORDS))), nw).alias("common_share"),
         share(chars(r"\p{N}+"), F.col("_v")).alias("digit_share"),
-        share(F.size(F.filter("_w", lambda w: w.rlike(r"^\p{Lu}"))), nw).alias("capital_share"),
+        share(F.size(F.filter("_w", lambda w: F.left(w, F.lit(1)) != F.lower(F.left(w, F.lit(1))))), nw).alias("capital_share"),
         share(F.size(F.array_distinct(folded)), nw).alias("distinct_share"),
         lines_like(r"^\s*(?:[-*•>+·–]|\(?\d{1,4}[.)])\s").alias("bullet_line_share"),
         lines_like(r"[|;\t]|,\S*,|\S {3,}\S|^[^.:]{1,40}: ").alias("delimiter_line_share"),
         share(nw, nl).alias("words_per_line"),
         share(chars(r"[\x00-\x08\x0e-\x1b�﻿ÃÂâ€œ™¤¶]+"), F.col("_v")).alias("odd_share"),
         longest.cast("double").alias("longest_run"),
-    )
+    ]
+    kept = [c for c, name in zip(out, FEATURES, strict=True) if name in only]
+    # by way of a generator each statistic is evaluated once: a filter on it isn't pushed below and repeated
+    return seen.select(doc, F.inline(F.array(F.struct("blank", *kept))))
 
 
 @dataclass(frozen=True)
@@ -185,12 +187,15 @@ def case_expression(rules: list[Rule]) -> str:
     return "CASE WHEN blank THEN NULL " + " ".join(r.sql() for r in rules) + " ELSE 'prose' END"
 
 
-def classify(df: DataFrame, labels: DataFrame, doc: str, text: str, kind: str = "kind", max_labelled: int = 20_000) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, doc: str, text: str, kind: str = "kind", max_labelled: int = 20_000, all_statistics: bool = True) -> DataFrame:
     """``statistics`` of every row with ``kind``: prose, list, table, junk, or null for null and blank text.
 
+    Without ``all_statistics`` only those that the rules ask for are computed.
+
     The rules are learned from a bounded sample of labelled rows (``max_labelled``); statistics and the
     learned CASE expression run natively over all rows.
     """
     labelled = df.join(F.broadcast(labels.select(doc).distinct().orderBy(F.xxhash64(doc, F.lit(0)), doc).limit(max_labelled)), doc, "left_semi")
     rules = learn(statistics(labelled, doc, text), labels, doc, kind, max_labelled)
-    return statistics(df, doc, text).withColumn("kind", F.expr(case_expression(rules)))
+    only = FEATURES if all_statistics else [f for f in FEATURES if any(f == c[0] for r in rules for c in r.conditions)]
+    return statistics(df, doc, text, only).withColumn("kind", F.expr(case_expression(rules)))

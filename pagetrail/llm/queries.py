@@ -169,13 +169,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares_reached(mixed, docs, targets, "source", "size")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "doc_labels"), "doc_id", "text")
+def _judged(spark: SparkSession, sf_dir: str, all_statistics: bool = True) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "doc_labels"), "doc_id", "text", all_statistics=all_statistics)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't natural prose."""
-    return _judged(spark, sf_dir).where("kind <> 'prose'").select("doc_id")
+    return _judged(spark, sf_dir, False).where("kind <> 'prose'").select("doc_id")
 
 
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
