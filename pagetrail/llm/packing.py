@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrail.keys import distributed_rank
+from pagetrail.session import cut as checkpointed
 
 
 def tiers(capacity: int, least: int = 16) -> list[int]:
@@ -79,7 +80,7 @@ def pack(df: DataFrame, doc: str, size: Column, capacity: int = 512, group_conta
 
     The driver sees the histogram only: at most ``capacity`` rows.
     """
-    cut = pieces(df, doc, size, capacity)
+    cut = checkpointed(pieces(df, doc, size, capacity))  # sizes are counted once, and used three times
     spark = df.sparkSession
     histogram = {r["size"]: r["n"] for r in cut.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     patterns = plan_containers(histogram, capacity)
