@@ -43,7 +43,7 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.1), share * share)
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: str, weight: str, seed: int = 0, buckets: int = 256) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: str, weight: str, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """``(source, doc, size, repeats)``: how often each document of a target source is used (0 rows are left out).
 
     Whole passes over a source come first (``full`` repeats of every document); the rest of the budget goes to
@@ -53,8 +53,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str, source: str, size: str, w
     or null are left out, null weights count as 0.1, an empty table gives no rows.
 
     Prefix sums are made in two steps, so a source that holds most rows isn't sorted in one task: keys are cut
-    into ``buckets`` of about equal size, whose sums give each bucket's start.
+    into ``buckets`` of about equal size (by default one per 100,000 rows of the table), whose sums give each
+    bucket's start.
     """
+    buckets = buckets or max(16, docs.count() // 100_000)
     plan = budgets(docs, targets, source, size).select("source", "_k", "full", "rest", "max_repeats")
     small = F.broadcast(plan) if plan.limit(10_001).count() <= 10_000 else plan
     sized = docs.where(F.col(size) > 0).select(F.col(doc), F.col(size), F.coalesce(F.col(weight), F.lit(0.1)).alias("_w"), source_key(F.col(source)).alias("_k"))
