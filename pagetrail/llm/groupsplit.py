@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetrail.functions.text import entity_key  # noqa: F401  (callers name it here)
 from pagetrail.keys import skew_join
 from pagetrail.session import cut
 
 
-#: 32 hex digits, possibly with a separator between any two, not part of a longer run of hex digits.
-HEX_ID = r"(?<![0-9a-f])([0-9a-f](?:[-_ ]?[0-9a-f]){31})(?![0-9a-f])"
-
-
-def entity_key(name: Column) -> Column:
-    """A hex id in one spelling: the 32 hex digits in lower case, whatever separators, braces, prefix or suffix.
-
-    A name without such an id is taken as it is, in lower case and trimmed; null and blank names give null.
-    """
-    low = F.lower(name)
-    digits = F.regexp_replace(F.regexp_extract(low, HEX_ID, 1), "[-_ ]", "")
-    return F.coalesce(F.nullif(digits, F.lit("")), F.nullif(F.trim(low), F.lit("")))
-
-
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components ``(node, root)`` of undirected ``edges(u long, v long)``; root is the smallest node.
 

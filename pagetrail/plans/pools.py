@@ -70,18 +70,25 @@ def elements_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pool_id", "id").agg(F.min("cand_row").alias("first_row"), F.count(F.lit(1)).alias("n"), F.array_join(ops, ",").alias("ops"))
 
 
-def latest_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last row of every element of a pool, in page order: (pool, id, label, value, role, ops, hints, i, n)."""
+def latest_pool(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """The last row of every element of a pool, in page order: (pool, id, label, value, role, ops, hints, i, n).
+
+    With ``keyed``, pools are named by ``pool_key``, and those that differ in the spelling of their task id only are one.
+    """
     rows = table(spark, sf_dir, "candidates", "pool_id", "id", "label", "value", "role", "ops", "hints", "doc_order", "captured_at", "cand_row")
+    if keyed:
+        rows = rows.withColumn("pool_id", X.pool_key(F.col("pool_id")))
     w = Window.partitionBy("pool_id", "id").orderBy(F.col("captured_at").desc_nulls_last(), F.desc("cand_row"))
     last = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumnRenamed("pool_id", "pool")
     placed = R.page_positions(last.select("pool", "id", "label", "value", "role", "ops", "hints", "doc_order"), "pool", F.col("doc_order"), F.col("id"))
     return placed.drop("doc_order")
 
 
-def task_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One goal per pool of a task's step: (pool, goal, history)."""
+def task_queries(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """One goal per pool of a task's step: (pool, goal, history); with ``keyed``, pools are named by ``pool_key``."""
     tasks = table(spark, sf_dir, "tasks", "task_row", "annotation_id", "confirmed_task", F.size("actions").alias("n"))
+    if keyed:
+        tasks = tasks.withColumn("annotation_id", X.entity_key(F.col("annotation_id")))
     first = tasks.groupBy("annotation_id").agg(F.min_by(F.struct("confirmed_task", "n"), "task_row").alias("t")).where("t.n > 0")
     steps = first.select("annotation_id", F.col("t.confirmed_task").alias("goal"), F.explode(F.sequence(F.lit(0), F.col("t.n") - 1)).alias("step"))
     return steps.select(F.concat_ws(":", "annotation_id", "step").alias("pool"), "goal", F.array().cast("array<string>").alias("history"))
@@ -95,8 +102,8 @@ def live_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat(F.lit("live:"), F.col("page_id")).alias("pool"), "goal", F.array().cast("array<string>").alias("history"))
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return task_queries(spark, sf_dir).unionByName(live_queries(spark, sf_dir))
+def _queries(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    return task_queries(spark, sf_dir, keyed).unionByName(live_queries(spark, sf_dir))
 
 
 def scored_pools(spark: SparkSession, sf_dir: str, variant: R.Variant = R.PRODUCTION) -> DataFrame:
@@ -109,26 +116,33 @@ def shortlist_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold element per step: (pool, gold_id, gold_op, dev), one per pool; dev by the website's hash."""
+    """Gold element per step: (pool, gold_id, gold_op, dev), one per pool as named by ``pool_key``; dev by the website's hash."""
     cases = table(spark, sf_dir, "step_cases", "case_id", "task_id", "step", "website", "gold_op", "gold_id", "valid_gold")
     cases = cases.where("valid_gold and task_id is not null and gold_id is not null")
-    one = cases.withColumn("pool", F.concat_ws(":", "task_id", "step")).groupBy("pool").agg(F.min_by(F.struct("gold_id", "gold_op", "website"), "case_id").alias("g"))
+    cases = cases.withColumn("task", X.entity_key(F.col("task_id"))).where("task is not null")
+    one = cases.withColumn("pool", F.concat_ws(":", "task", "step")).groupBy("pool").agg(F.min_by(F.struct("gold_id", "gold_op", "website"), "case_id").alias("g"))
     return one.select("pool", "g.gold_id", "g.gold_op", (X.md5_mod(F.col("g.website"), 20) == 0).alias("dev"))
 
 
+def _gold_pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pools with a gold element, whole, with their queries and gold: only these are ranked; they are read, reduced and placed once."""
+    gold = cut(_gold(spark, sf_dir))
+    pool = cut(latest_pool(spark, sf_dir, keyed=True).join(gold.select("pool"), "pool", "left_semi"))
+    queries = cut(_queries(spark, sf_dir, keyed=True).join(gold.select("pool"), "pool", "left_semi"))
+    return pool, queries, gold
+
+
 def recall_at_k(spark: SparkSession, sf_dir: str, variant: R.Variant = R.PRODUCTION) -> DataFrame:
     """Recall at 20, 30, 40 and 60 by split and scope (all steps, clicks only)."""
-    ranks = R.gold_ranks(scored_pools(spark, sf_dir, variant), _gold(spark, sf_dir))
+    pool, queries, gold = _gold_pools(spark, sf_dir)
+    ranks = R.gold_ranks(R.scored(pool, queries, variant), gold)
     scoped = ranks.withColumn("scope", F.explode(F.when(F.col("gold_op") == "CLICK", F.array(F.lit("all"), F.lit("click"))).otherwise(F.array(F.lit("all")))))
     return R.recall(scoped, by=("dev", "scope"))
 
 
 def variant_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of every ranking recipe over all pools."""
-    gold = cut(_gold(spark, sf_dir))
-    # only pools with a gold element are ranked; they are read, reduced and placed once for all recipes
-    pool = cut(latest_pool(spark, sf_dir).join(gold.select("pool"), "pool", "left_semi"))
-    queries = cut(_queries(spark, sf_dir).join(gold.select("pool"), "pool", "left_semi"))
+    pool, queries, gold = _gold_pools(spark, sf_dir)
     out = None
     for v in R.VARIANTS:
         one = R.recall(R.gold_ranks(R.scored(pool, queries, v), gold)).select(F.lit(v.name).alias("variant"), "k", "steps", "recall")
@@ -138,7 +152,7 @@ def variant_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per role: elements, gold elements and their rate, over pools that have a gold element."""
-    pool = latest_pool(spark, sf_dir).select("pool", "id", "role")
+    pool = latest_pool(spark, sf_dir, keyed=True).select("pool", "id", "role")
     gold = _gold(spark, sf_dir).where("not dev").select("pool", "gold_id")
     joined = pool.join(gold, "pool")
     per = joined.groupBy("role").agg(F.count(F.lit(1)).alias("n_pool"), F.count_if(F.col("id") == F.col("gold_id")).alias("n_gold"))
