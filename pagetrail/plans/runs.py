@@ -94,14 +94,19 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.case_summary(table(spark, sf_dir, "step_cases"))
 
 
+def step_cases(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Case rows with their task id in one spelling, and ``columns``."""
+    return table(spark, sf_dir, "step_cases", X.entity_key(F.col("task_id")).alias("task_id"), *columns)
+
+
 def _scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter: the predictor clicks always, and takes for each operation the pool's element with the best recorded score."""
-    rows = table(spark, sf_dir, "candidates", "pool_id", "id", "ops", "score").where("score is not null and not isnan(score)")
+    rows = table(spark, sf_dir, "candidates", X.pool_key(F.col("pool_id")).alias("pool_id"), "id", "ops", "score").where("score is not null and not isnan(score)")
     one = rows.select("pool_id", "id", "score", F.explode("ops").alias("op"))
     best = one.groupBy("pool_id", "op").agg(F.min_by("id", F.struct((-F.col("score")).alias("m"), "id")).alias("id"))
     key = F.regexp_extract("pool_id", "^(.*):([0-9]+)$", 1)
     top = best.where(~F.col("pool_id").startswith("live:")).select(key.alias("task_id"), F.regexp_extract("pool_id", "^(.*):([0-9]+)$", 2).cast("int").alias("step"), "op", "id")
-    scored = table(spark, sf_dir, "step_cases", "task_id", "step", "gold_op", "gold_id", "valid_gold", "gold_in_shortlist", "drop_reason")
+    scored = step_cases(spark, sf_dir, "step", "gold_op", "gold_id", "valid_gold", "gold_in_shortlist", "drop_reason")
     return evaluate.outcomes(scored, evaluate.baseline_predictions(top))
 
 
@@ -234,8 +239,9 @@ def dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of 25 tasks."""
-    return sample.sample_groups(table(spark, sf_dir, "step_cases", "case_id", "task_id"), "task_id", 25)
+    """All rows of 25 tasks, whatever the spelling of their ids, which the rows keep."""
+    rows = table(spark, sf_dir, "step_cases", "case_id", "task_id").withColumn("_task", X.entity_key(F.col("task_id")))
+    return sample.sample_groups(rows, "_task", 25).select("case_id", "task_id")
 
 
 def row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagetrail.functions import text as X
 from pagetrail.operators import rank as R
-from pagetrail.plans import pools
+from pagetrail.plans import pools, runs
 
 HEX = "2e4e47b6b401d657af2890c0e4d8416a"
 DASHED = "2e4e47b6-b401-d657-af28-90c0e4d8416a"
@@ -45,3 +45,18 @@ def test_gold_in_every_spelling_is_ranked(spark, sf):
 def test_sweep_counts_every_spelling(spark, sf, monkeypatch):
     monkeypatch.setattr(R, "VARIANTS", R.VARIANTS[:1])
     assert {r.steps for r in pools.variant_sweep(spark, sf).collect()} == {len(SPELLINGS)}
+
+
+def test_metrics_are_over_whole_tasks(spark, sf):
+    micro = runs.micro_metrics(spark, sf).first()
+    assert (micro.scored, micro.step_success_scored) == (len(SPELLINGS), 1.0)
+    macro = runs.macro_metrics(spark, sf).first()
+    assert (macro.tasks, macro.step_success_macro, macro.success_rate) == (1, 1.0, 1.0)
+
+
+def test_task_sample_takes_every_spelling_of_a_task(spark, tmp_path):
+    rows = [(30 * s + k, t.replace("2e4e47b6", f"{k:08x}").replace("2E4E47B6", f"{k:08X}")) for s, t in enumerate(SPELLINGS) for k in range(30)]
+    spark.createDataFrame(rows, "case_id bigint, task_id string").write.parquet(f"{tmp_path}/step_cases.parquet")
+    got = runs.task_sample(spark, str(tmp_path)).collect()
+    assert len({r.case_id % 30 for r in got}) == 25 and len(got) == 25 * len(SPELLINGS)
+    assert {(r.case_id, r.task_id) for r in got} <= set(rows)
