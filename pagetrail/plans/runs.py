@@ -65,8 +65,8 @@ def step_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions per run within a budget of three."""
-    return memory.within_budget(history(spark, sf_dir), 3).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    """Actions per run within a budget of sixty."""
+    return memory.within_budget(history(spark, sf_dir), 60).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def history_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,9 +186,9 @@ def evidence_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a page's outline pool that fit 400 characters, of 25 at most, by place."""
+    """Lines of a page's outline pool that fit 1,600 characters, of 25 at most, by place."""
     rows = table(spark, sf_dir, "candidates", "pool_id", "cand_row", "label").where("label is not null")
-    kept = route.within_chars(rows, "pool_id", "cand_row", "label", 400, 25)
+    kept = route.within_chars(rows, "pool_id", "cand_row", "label", 1600, 25)
     return kept.groupBy("pool_id").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.length("label")).alias("chars"))
 
 
