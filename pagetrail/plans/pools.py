@@ -189,12 +189,19 @@ def option_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o.role") == F.col("role")).alias("same_role"))
 
 
+#: The attributes that a hint is made of, in the reference's order, and the characters taken of each.
+HINT_FIELDS = ("id", "name", "class", "title", "alt", "placeholder", "aria_label")
+MAX_HINT = 300
+
+
 def hint_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifier pieces in class attributes of raw candidates, with their counts."""
-    tasks = nested_table(spark, sf_dir, "tasks", {"task_row", "actions", "neg_candidates", "attributes"})
-    raw = tasks.select(F.explode(F.flatten(F.filter("actions.neg_candidates", lambda x: x.isNotNull()))).alias("c")).select(F.from_json("c.attributes", "map<string,string>").alias("a"))
-    hints = X.split_identifier(F.left(F.element_at("a", "class"), F.lit(300)))
-    return raw.where(F.element_at("a", "class").isNotNull()).select(F.explode(F.split(hints, " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Identifier pieces in the hint attributes of all raw candidates, positive and negative, with their counts."""
+    tasks = nested_table(spark, sf_dir, "tasks", {"task_row", "actions", "pos_candidates", "neg_candidates", "attributes"})
+    none = F.array().cast(tasks.schema["actions"].dataType.elementType["neg_candidates"].dataType)
+    both = F.transform("actions", lambda a: F.concat(F.coalesce(a["pos_candidates"], none), F.coalesce(a["neg_candidates"], none)))
+    raw = tasks.select(F.explode(F.flatten(F.filter(both, lambda x: x.isNotNull()))).alias("c")).select(F.from_json("c.attributes", "map<string,string>").alias("a"))
+    hints = F.concat_ws(" ", *[X.split_identifier(F.left(F.element_at("a", f), F.lit(MAX_HINT))) for f in HINT_FIELDS])
+    return raw.select(F.explode(F.split(hints, " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
