@@ -146,12 +146,15 @@ def reclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link ids by the HTML parser that aren't among a page's raw candidates, and the other way round; distinct pairs."""
-    ours = described(spark, sf_dir).where("tag = 'a' and node_id is not null").select("page_key", F.col("node_id").alias("id"))
+    """Ids of interactive elements by the HTML parser that aren't among a page's interactive raw candidates, and the other way round; distinct pairs."""
+    ours = described(spark, sf_dir).where("interactive and node_id is not null").select("page_key", F.col("node_id").alias("id"))
     tasks = table(spark, sf_dir, "tasks", "task_row", "actions").select("task_row", F.posexplode("actions").alias("step", "a"))
     both = F.concat(F.coalesce("a.pos_candidates", F.array()), F.coalesce("a.neg_candidates", F.array()))
-    theirs = tasks.select(F.concat_ws(":", "task_row", "step").alias("page_key"), F.explode(both).alias("c")).where("c.tag = 'a'").select("page_key", F.col("c.backend_node_id").alias("id"))
-    only = ours.subtract(theirs).select(F.lit("page").alias("side"), "page_key").unionByName(theirs.subtract(ours).select(F.lit("candidates").alias("side"), "page_key"))
+    theirs = tasks.select(F.concat_ws(":", "task_row", "step").alias("page_key"), F.explode(both).alias("c"))
+    theirs = theirs.where(H.is_interactive(F.col("c.tag"), F.from_json("c.attributes", "map<string,string>"))).select("page_key", F.col("c.backend_node_id").alias("id"))
+    # one pass over both sides; subtracting each from the other would parse every page twice
+    sides = ours.withColumn("side", F.lit("page")).unionByName(theirs.withColumn("side", F.lit("candidates")))
+    only = sides.groupBy("page_key", "id").agg(F.min("side").alias("side"), F.max("side").alias("_other")).where("side = _other")
     return only.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
