@@ -13,7 +13,7 @@ CAPACITY = 512
 
 def _top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "candidates", "pool_id", "id", "score", "doc_order", "captured_at", "cand_row")
-    return topn.top_n_per_group(rows, "pool_id", "id", "score", [F.col("doc_order"), F.col("id")], [F.col("captured_at"), F.col("cand_row")], 5)
+    return topn.top_n_per_group(rows, "pool_id", "id", "score", ["doc_order", "id"], ["captured_at", "cand_row"], 5)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,52 +1,36 @@
-"""Top N items within every group, with salted hot groups and lower bounds per partition."""
+"""Top N items within every group, by lower bounds that every partition applies to itself before the shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetrail.keys import hot_keys, hot_limit
 
-
-def top_n_per_group(df: DataFrame, group: str, item: str, score: str, ties: Sequence[Column], version: Sequence[Column], n: int, hot_rows: int = 20_000) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: str, item: str, score: str, ties: Sequence[str], version: Sequence[str], n: int) -> DataFrame:
     """The ``n`` best items of every group: ``(group, item, score, rank)``.
 
-    Of several rows with the same (group, item) only the first in the order ``version`` counts; of those,
-    rows with a null or NaN score are left out. Order: score descending, then ``ties``. Groups with fewer items
-    give them all. Null groups and null items are values of their own. An empty table gives no rows. ``version``
-    and ``ties`` must make the order total, else equal rows are interchangeable. Extra columns are ignored.
-
-    Groups of up to ``hot_rows`` rows (or 1/1000 of the table, if that is more) are sorted in one task. Larger
-    ones are spread over partitions by item; the score of the local N-th best item is a lower bound for the
-    group's N-th best, since the items of a partition are all final there. The largest bound per group is
-    joined, rows below it are dropped and the survivors ranked. Fewer than 1000 groups can be hot, so the
-    broadcast of bounds has a fixed size.
+    Of several rows with the same (group, item) only the first in the order ``version`` (descending, nulls last)
+    counts; of those, rows with a null or NaN score are left out. Order: score descending, then ``ties``
+    ascending, nulls last. Groups with fewer items give them all. Null groups and null items are values of
+    their own. An empty table gives no rows. ``version`` and ``ties`` must make the order total, else equal rows
+    are interchangeable. Extra columns are ignored.
+
+    First the newest row per (group, item): every partition keeps its own newest before rows are hashed by
+    (group, item), so neither a large group nor an item sent again and again meets in one task. Items are then
+    final and spread evenly. Each partition's N-th best item of a group is a lower bound for the group's N-th
+    best: the partition drops what is below its own bound before the second shuffle (a partial WindowGroupLimit in
+    the plan), so a group sends at most ``n`` items from each partition, however large it is. There they are
+    ranked, by which the largest bound cuts the rest: joining the maximum first would shuffle the same rows by
+    the same key. This is the same at every size: no group is looked up, collected or broadcast.
     """
-    columns = list(dict.fromkeys([group, item, score]))
-    rows = df.select(*columns, *[c.alias(f"_t{i}") for i, c in enumerate(ties)], *[c.alias(f"_v{i}") for i, c in enumerate(version)])
-    by_version = [F.col(f"_v{i}").desc_nulls_last() for i in range(len(version))]
-    order = [F.col(score).desc(), *[F.col(f"_t{i}").asc_nulls_last() for i in range(len(ties))]]
-
-    def local(part: DataFrame, *key: str) -> DataFrame:
-        latest = Window.partitionBy(*key, item).orderBy(*by_version)
-        best = Window.partitionBy(*key).orderBy(*order)
-        counted = part.withColumn("_n", F.row_number().over(latest)).where("_n = 1")
-        counted = counted.where(F.col(score).isNotNull() & ~F.isnan(score))
-        return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-
-    hot = hot_keys(df, group, hot_rows, nulls=True).collect()
-    if not hot:
-        return local(rows.repartition(group), group).select(*columns, "rank")
-    values = [r[group] for r in hot if r[group] is not None]
-    is_hot = F.coalesce(F.col(group).isin(values), F.lit(len(values) < len(hot)))
-    cold = local(rows.where(~is_hot).repartition(group), group)
-    size = hot_limit(0, hot_rows)
-    salts = df.sparkSession.createDataFrame([(r[group], -(-r["n"] // size)) for r in hot], f"_group {dict(df.dtypes)[group]}, _salts long")
-    spread = rows.where(is_hot).join(F.broadcast(salts), F.col(group).eqNullSafe(F.col("_group"))).withColumn("_salt", F.pmod(F.xxhash64(item), F.col("_salts")))
-    parts = local(spread.drop("_group").repartition(group, "_salt"), group, "_salt")
-    bounds = parts.where(F.col("rank") == n).groupBy(F.col(group).alias("_group")).agg(F.max(score).alias("_bound"))
-    survivors = parts.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("_group")), "left").where(F.col("_bound").isNull() | (F.col(score) >= F.col("_bound")))
-    ranked = survivors.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
-    return cold.select(*columns, "rank").unionByName(ranked.select(*columns, "rank"))
+    columns = list(dict.fromkeys([group, item, score, *ties]))
+    rows = df.select(*dict.fromkeys([*columns, *version]))
+    newest = Window.partitionBy(group, item).orderBy(*[F.col(c).desc_nulls_last() for c in version])
+    order = [F.col(score).desc(), *[F.col(c).asc_nulls_last() for c in ties]]
+    final = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").select(*columns)
+    final = final.where(F.col(score).isNotNull() & ~F.isnan(score))
+    best = Window.partitionBy(group).orderBy(*order)
+    ranked = final.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return ranked.select(*dict.fromkeys([group, item, score]), "rank")

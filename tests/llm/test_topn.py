@@ -2,8 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from pagetrail.llm.topn import top_n_per_group
 
 SCHEMA = "pool string, id string, score double, o int, at int, row int, rank int, _n string, _salt string"
@@ -23,24 +21,30 @@ def brute(rows, n):
     return {(p, r[1], i + 1) for p, rs in out.items() for i, r in enumerate(sorted(rs, key=key)[:n])}
 
 
-def run(spark, rows, n=5, hot=20_000, parts=6):
+def run(spark, rows, n=5, parts=6):
     df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
-    got = top_n_per_group(df, "pool", "id", "score", [F.col("o"), F.col("id")], [F.col("at"), F.col("row")], n, hot)
+    got = top_n_per_group(df, "pool", "id", "score", ["o", "id"], ["at", "row"], n)
     out = [(r.pool, r.id, r["rank"]) for r in got.collect()]
     assert len(out) == len(set(out))
     return set(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 40, 5])
-def test_random_with_ties_nulls_and_hot_groups(spark, hot):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("parts", [1, 6, 40])
+def test_random_with_ties_nulls_and_hot_groups(spark, parts):
+    rng = random.Random(parts)
     pools = ["hot"] * 6 + ["a", "b", None, None, "Ä"]
     rows = []
     for i in range(1500):
         score = rng.choice([None, math.nan, math.inf, -math.inf, *[x / 4 for x in range(12)]])
         rows.append((rng.choice(pools), rng.choice([None, *(f"i{k}" for k in range(90)), "É", "z" * 5000]), score, rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2, 3]), i, 9, "x", "y"))
     rows += [(r[0], r[1], r[2], r[3], r[4], r[5] + 5000, 9, "x", "y") for r in rows[:100]]
-    assert run(spark, rows, hot=hot) == brute(rows, 5)
+    assert run(spark, rows, parts=parts) == brute(rows, 5)
+
+
+def test_every_partition_cuts_by_its_own_bound_before_each_shuffle(spark):
+    df = spark.createDataFrame([("p", str(i), float(i), i, 1, i, 0, "", "") for i in range(50)], SCHEMA)
+    plan = top_n_per_group(df, "pool", "id", "score", ["o", "id"], ["at", "row"], 5)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Partial") == 2 and "BroadcastExchange" not in plan
 
 
 def test_small_groups_and_empty(spark):
