@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetrail.llm import groupsplit, mixing, overlap, packing, quality, residue, tokens, topn, truncation
+from pagetrail.session import cut
 from pagetrail.sources.tables import nested_table, table
 
 CAPACITY = 512
@@ -141,32 +142,57 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the packing per document: its parts, their tokens together, and the fullest of its containers within the capacity."""
+    packed = _packed(spark, sf_dir)
+    used = packed.groupBy("container").agg(F.sum("size").alias("used"))
+    per = packed.join(used, "container").groupBy("doc_id")
+    return per.agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("tokens"), F.bool_and(F.col("used") <= CAPACITY).alias("fits"))
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are."""
     return packing.fill_report(_packed(spark, sf_dir), CAPACITY)
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and weight of every document, read and counted once."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("weight"))
+    return cut(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("size"), mixing.quality_weight(F.col("text")).alias("weight")))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mixture, and the report on the shares reached."""
+    docs, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    mixed = mixing.mix(docs, targets, "doc_id", "source", "size", "weight", compensate=True)
+    return mixed, mixing.shares_reached(mixed, docs, targets, "source", "size")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that can't reach their share at the size of all tokens."""
-    plan = mixing.budgets(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "source", "size")
-    return plan.where("short").select("source")
+    """Sources that can't reach their share at the size of all tokens: those that the mix uses to less than they are due, checked exactly."""
+    report = _mixed(spark, sf_dir)[1]
+    return report.where((F.col("used") < F.col("budget")) & F.col("short")).select("source")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used."""
-    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "size", "weight")
+    return _mixed(spark, sf_dir)[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares actually reached."""
-    docs, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    mixed = mixing.mix(docs, targets, "doc_id", "source", "size", "weight")
-    return mixing.shares_reached(mixed, docs, targets, "source", "size")
+    return _mixed(spark, sf_dir)[1].drop("budget")
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the mixture per source: no document above max_repeats, no source without one; documents used and whether all of a short source is."""
+    mixed, report = _mixed(spark, sf_dir)
+    most = mixed.groupBy("source").agg(F.max("repeats").alias("most"), F.count(F.lit(1)).alias("n"))
+    each = report.join(most, "source", "left")
+    return each.select(
+        "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"),
+        F.when(F.col("short"), F.col("used")).alias("used_of_short"), F.when(F.col("short"), F.coalesce("n", F.lit(0))).alias("documents_of_short"),
+    )
 
 
 def _judged(spark: SparkSession, sf_dir: str, all_statistics: bool = True) -> DataFrame:
@@ -196,8 +222,8 @@ QUERIES = {
     "p3_found": p3_found, "p3_shares": p3_shares, "p3_limits": p3_limits,
     "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares,
-    "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill,
-    "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_documents": p7_documents,
+    "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_limits": p8_limits,
     "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics,
 }
 
@@ -227,6 +253,14 @@ m AS (SELECT case_id, coalesce(root, coalesce(a, b), 'row ' || case_id) AS root
 f AS (SELECT case_id, min(case_id) OVER (PARTITION BY root) AS first_case_id FROM m)
 SELECT first_case_id, case_id FROM f WHERE case_id <> first_case_id""",
     "p7_found": f"SELECT doc_id FROM documents WHERE {_SIZE} > 512",
+    "p7_documents": f"""
+SELECT doc_id, CAST(ceil({_SIZE} / 512.0) AS BIGINT) AS parts, CAST({_SIZE} AS BIGINT) AS tokens, true AS fits FROM documents WHERE {_SIZE} > 0""",
+    "p8_limits": f"""
+WITH h AS (SELECT {_KEY} AS k, sum({_SIZE}) AS tokens, count(*) FILTER (WHERE {_SIZE} > 0) AS docs FROM documents GROUP BY 1),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(tokens, 0) AS tokens, coalesce(docs, 0) AS docs FROM mix_targets m LEFT JOIN h ON h.k = {_KEY.replace("source", "m.source")}),
+s AS (SELECT *, target_share * (SELECT sum(tokens) FROM t) > max_repeats * tokens AS short FROM t)
+SELECT source, true AS repeats_kept, CAST(CASE WHEN short THEN max_repeats * tokens END AS BIGINT) AS used_of_short,
+  CASE WHEN short THEN docs END AS documents_of_short FROM s""",
     "p8_found": f"""
 WITH h AS (SELECT {_KEY} AS k, sum({_SIZE}) AS tokens FROM documents GROUP BY 1),
 t AS (SELECT m.source, target_share, max_repeats, coalesce(tokens, 0) AS tokens FROM mix_targets m LEFT JOIN h ON h.k = {_KEY.replace("source", "m.source")})

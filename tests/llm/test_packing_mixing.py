@@ -97,3 +97,48 @@ def test_mix_prefers_weight(spark):
 def test_mix_empty(spark):
     rows, reached = mixture(spark, [], [("a", 1.0, 2)])
     assert rows == [] and reached["a"].share is None and not reached["a"].short
+
+
+def test_tiers_change_the_plan():
+    sizes = {200: 4, 56: 4, 112: 2}
+    one, many = packing.plan_hierarchy(sizes, 512, [512]), packing.plan_hierarchy(sizes, 512)
+    assert [w for _, ws in one for w in ws] != [w for _, ws in many for w in ws]
+    assert {c for _, ws in many for c, _ in ws} == {256, 128} and {c for _, ws in one for c, _ in ws} == {512}
+    rng = random.Random(7)
+    for _ in range(60):
+        capacity = rng.choice([8, 64, 512])
+        histogram = {rng.randint(1, capacity): rng.randint(1, 50) for _ in range(rng.randint(0, 40))}
+        seen = {}
+        for times, windows in packing.plan_hierarchy(histogram, capacity):
+            assert times > 0 and sum(sum(w) for _, w in windows) <= capacity
+            for context, window in windows:
+                assert sum(window) <= context
+                for s in window:
+                    seen[s] = seen.get(s, 0) + times
+        assert seen == histogram
+
+
+def test_windows_keep_to_their_context(spark):
+    rng = random.Random(5)
+    windows = {}
+    for r in pack(spark, [rng.randint(1, 600) for _ in range(800)], 512):
+        windows.setdefault((r.container, r.window, r.context), []).append(r["size"])
+    assert all(sum(w) <= context for (_, _, context), w in windows.items()) and len({c for _, _, c in windows}) > 1
+
+
+def test_mix_buckets_are_even_at_low_weight(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc"), F.lit("a").alias("source"), F.lit(1).alias("size"), F.when(F.col("id") % 4 == 0, 1.0).otherwise(0.1).alias("weight"))
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    plan = mixing.mix(docs, targets, "doc", "source", "size", "weight", buckets=50)
+    assert plan.count() == 20_000
+    keyed = mixing.keyed_documents(docs, mixing.budgets(docs, targets, "source", "size").select("source", "_k", "full", "rest", "max_repeats"), "doc", "source", "size", "weight", 0, 50)
+    counts = [r["count"] for r in keyed.groupBy("_b").count().collect()]
+    assert len(counts) == 50 and max(counts) < 3 * 20_000 / 50
+
+
+def test_mix_compensates_short_sources(spark):
+    docs = spark.createDataFrame([(i, "a" if i < 20 else "b", 10, 1.0) for i in range(1000)], "doc long, source string, size int, weight double")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(docs, targets, "doc", "source", "size", "weight", compensate=True)
+    used = {r.source: r.used for r in mixing.shares_reached(mixed, docs, targets, "source", "size").collect()}
+    assert used == {"a": 400, "b": 9600}
