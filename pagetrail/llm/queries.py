@@ -80,26 +80,27 @@ def p3_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.storage_limits(long).select("source", "field", "encoding", "limit")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overlaps(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Per field the links between classes of rows, and which rows they hold."""
     tasks = spark.read.parquet(f"{sf_dir}/tasks.parquet")
     train = (F.col("split") == "train").alias("train")
-    goals = overlap.same_requests(tasks.select(F.col("task_row").alias("row_id"), train, F.col("confirmed_task").alias("text")))
+    goals = tasks.select(F.col("task_row").alias("row_id"), train, F.col("confirmed_task").alias("text"))
     shown = nested_table(spark, sf_dir, "tasks", {"task_row", "split", "actions", "cleaned_html"})
-    pages = overlap.same_pages(shown.select(F.col("task_row").alias("row_id"), train, F.col("actions.cleaned_html").alias("pages")))
-    return goals.select(F.lit("confirmed_task").alias("field"), "row_a", "row_b").unionByName(pages.select(F.lit("cleaned_html").alias("field"), "row_a", "row_b"))
+    pages = shown.select(F.col("task_row").alias("row_id"), train, F.col("actions.cleaned_html").alias("pages"))
+    return {"confirmed_task": overlap.request_links(goals), "cleaned_html": overlap.page_links(pages)}
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training row and another row with the same request or page."""
-    return _overlaps(spark, sf_dir)
+    found = [overlap.expand(*classes).select(F.lit(field).alias("field"), "row_a", "row_b") for field, classes in _overlaps(spark, sf_dir).items()]
+    return found[0].unionByName(found[1])
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps per evaluation split and website: pairs, and evaluation rows that have any."""
+    """Overlaps per evaluation split and website: pairs, and evaluation rows that have any; counted by classes."""
     tasks = table(spark, sf_dir, "tasks", "task_row", "split", "website")
-    rows = tasks.where("split is not null").where("split <> 'train'")
-    pairs = _overlaps(spark, sf_dir).select("field", F.explode(F.array("row_a", "row_b")).alias("task_row"))
-    return pairs.join(rows, "task_row").groupBy("field", "split", "website").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("task_row").alias("n_rows"))
+    per = [overlap.counts(*classes).select(F.lit(field).alias("field"), F.col("row_id").alias("task_row"), "n") for field, classes in _overlaps(spark, sf_dir).items()]
+    return per[0].unionByName(per[1]).join(tasks, "task_row").groupBy("field", "split", "website").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,47 @@ def test_same_pages_against_brute_force(spark):
 
 def test_visible_words():
     assert O.visible_words('<a href="x">Cafés &amp; <b>BARS</b></a><style>p{}</style><!-- no --><script>if (a < b) {}</script>') == ["cafes", "bars"]
+
+
+def test_slips():
+    assert [O.slip(*w) for w in (("review", "reveiw"), ("tent", "tents"), ("tent", "teent"), ("lamp", "lump"), ("salem", "males"), ("nice", "cine"), ("10", "11"))] == ["swapped", "lost", "lost", "wrong", None, None, None]
+
+
+def same(a, b):
+    wa, wb = O.request_words(a), O.request_words(b)
+    return bool(set(O.request_blocks(wa)) & set(O.request_blocks(wb))) and O.same_request(wa, wb) is not None
+
+
+def test_requests_of_other_things():
+    assert not same("Book a room in Salem", "Book a room in Males") and not same("Find trains to Nice", "Find trains to Cine")
+    assert not same("Find a red lamp and a green sofa", "Find a green lamp and a red sofa")
+    assert same("Find a red lamp and a green sofa", "Find a green sofa and a red lamp") and same("Book for thirty people", "Book for 30 people")
+    assert same("Rent 25 chairs", "Rent twenty five chairs") and not same("Rent 25 chairs", "Rent 26 chairs")
+
+
+def test_slips_of_all_kinds_against_frequency(spark):
+    """One slip in any word of the template is found; a name with another letter is another name."""
+    rng = random.Random(9)
+    names = ["".join(rng.choice(["tor", "vel", "mar", "zel", "bru", "kor", "gal"]) for _ in range(3)) for _ in range(40)]
+    rows = [(i, True, f"Reserve a sturdy ladder in {n} with pickup at the central station and under {i} euros") for i, n in enumerate(names)]
+    want, lost = set(), 0
+    for i in range(40):
+        words = rows[i][2].split()
+        at = rng.choice([0, 2, 3, 7, 10, 11])
+        w = words[at]
+        k = rng.randrange(1, len(w) - 2)
+        words[at] = [w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + "q" + w[k + 1 :]][i % 4]
+        rows.append((100 + i, False, " ".join(words)))
+        want.add((i, 100 + i))
+    rows.append((500, False, rows[0][2].replace(names[0], names[0][:-1] + "x")))
+    got = {tuple(r) for r in O.same_requests(spark.createDataFrame(rows, "row_id long, train boolean, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want), want - got
+
+
+def test_hot_classes_are_joined_in_blocks_and_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(O, "BLOCK", 7)
+    rows = [(i, i % 3 > 0, BASE if i < 90 else f"{BASE} sorted by {i}") for i in range(100)]
+    links, members = O.request_links(spark.createDataFrame(rows, "row_id long, train boolean, text string"))
+    pairs = [tuple(r) for r in O.expand(links, members).collect()]
+    assert len(pairs) == len(set(pairs)) == 30 * 60
+    assert {r.row_id: r.n for r in O.counts(links, members).collect()} == {i: 60 for i in range(0, 90, 3)}
