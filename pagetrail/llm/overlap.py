@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetrail.functions.fold import fold
-from pagetrail.keys import skew_join
+from pagetrail.keys import bounded_broadcast_join, skew_join
 from pagetrail.session import cut
 
 #: Month names, number words, words of politeness.
@@ -283,27 +283,27 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 BLOCK = 1000
 
 
-def _numbered(side: DataFrame, key: str, row: str, other: DataFrame, mine: str, theirs: str) -> DataFrame:
-    """``side`` with the block of each row within its key, once for every block that the key has in ``other``.
-
-    Blocks are hashes of the row, ``BLOCK`` rows each; a key of fewer rows is one block. Sizes of keys are counted
-    with map-side combining and joined safely for hot keys.
-    """
-
-    def blocks(of: DataFrame, name: str) -> DataFrame:
-        return of.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-
-    sizes = blocks(side, "_mine").join(blocks(other, "_theirs"), key)
-    joined = skew_join(side, sizes, key)
+def _in_blocks(side: DataFrame, hot: DataFrame, key: str, row: str, mine: str, theirs: str) -> DataFrame:
+    """Rows of hot keys with the block of each within its key, once for every block that the key has on the other side."""
+    joined = bounded_broadcast_join(side, hot.select(key, F.col(f"_n{mine}").alias("_mine"), F.col(f"_n{theirs}").alias("_theirs")), [key], "inner")
     numbered = joined.withColumn(mine, F.pmod(F.xxhash64(row), F.col("_mine")).cast("int"))
     return numbered.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_mine", "_theirs")
 
 
 def blocked_join(train: DataFrame, other: DataFrame, key: str, row_t: str, row_e: str) -> DataFrame:
-    """Equi-join of two sides on ``key`` whose hot keys are joined block by block, so no task makes more than BLOCK x BLOCK pairs at once."""
-    t = _numbered(train, key, row_t, other, "_bt", "_be")
-    e = _numbered(other, key, row_e, train, "_be", "_bt")
-    return t.join(e, [key, "_bt", "_be"]).drop("_bt", "_be")
+    """Equi-join of two sides on ``key``. A key of more than BLOCK x BLOCK pairs is joined block by block, so no task makes more of them at once.
+
+    Blocks are hashes of the rows, of about ``BLOCK`` rows each. Sizes of keys are counted with map-side
+    combining. Both sides are read twice: hand in what is cheap to read.
+    """
+    n_t = train.groupBy(key).agg(F.count(F.lit(1)).alias("_t"))
+    n_e = other.groupBy(key).agg(F.count(F.lit(1)).alias("_e"))
+    hot = cut(n_t.join(n_e, key).where(F.col("_t") * F.col("_e") > BLOCK * BLOCK).select(key, *[F.ceil(F.col(f"_{s}") / BLOCK).cast("int").alias(f"_n_b{s}") for s in "te"]))
+    if hot.isEmpty():
+        return train.join(other, key)
+    cold = train.join(hot, key, "left_anti").join(other, key)
+    t, e = _in_blocks(train, hot, key, row_t, "_bt", "_be"), _in_blocks(other, hot, key, row_e, "_be", "_bt")
+    return cold.unionByName(t.join(e, [key, "_bt", "_be"]).drop("_bt", "_be"))
 
 
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def request_links(rows: DataFrame, rare: int = 2, often: int = 10) -> tuple[Data
     wrong = F.when(F.col("kind") == "wrong", unlike | (high < often)).otherwise(unlike & (low > rare))
     refused = judged.where(wrong).select("class_t", "class_e").distinct()
     near = told.select("class_t", "class_e").join(refused, ["class_t", "class_e"], "left_anti")
-    return exact.unionByName(near), members
+    return cut(exact.unionByName(near)), members
 
 
 def same_requests(rows: DataFrame) -> DataFrame:
@@ -393,9 +393,9 @@ def page_links(rows: DataFrame, least_agree: float = 0.9) -> tuple[DataFrame, Da
     both = unequal.join(bags.select(F.col("pid").alias("pid_t"), F.col("bag").alias("bag_t")), "pid_t")
     both = both.join(bags.select(F.col("pid").alias("pid_e"), F.col("bag").alias("bag_e")), "pid_e")
     agree = F.size(F.array_intersect("bag_t", "bag_e")) / F.greatest(F.size("bag_t"), F.size("bag_e"))
-    alike = both.where(agree >= least_agree).select("pid_t", "pid_e").unionByName(candidates.where("pid_t = pid_e"))
+    alike = cut(both.where(agree >= least_agree).select("pid_t", "pid_e").unionByName(candidates.where("pid_t = pid_e")))
     linked = blocked_join(t, alike, "pid_t", "class_t", "pid_e").select("class_t", "pid_e")
-    return blocked_join(linked, e, "pid_e", "class_t", "class_e").select("class_t", "class_e").distinct(), members
+    return cut(blocked_join(linked, e, "pid_e", "class_t", "class_e").select("class_t", "class_e").distinct()), members
 
 
 def same_pages(rows: DataFrame, least_agree: float = 0.9) -> DataFrame:
