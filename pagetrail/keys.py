@@ -29,18 +29,16 @@ def hot_keys(df: DataFrame, key: str, least_rows: int = 20_000, nulls: bool = Fa
     return df.sparkSession.createDataFrame([tuple(r) for r in found], counts.schema)
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least_rows: int = 100_000, rows: int | None = None) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least_rows: int = 100_000) -> DataFrame:
     """Equi-join of ``big`` with ``small`` (one row per key), safe when one key holds a large share of ``big``.
 
     Hot keys (fewer than MAX_HOT, see ``hot_keys``) are joined by broadcasting their rows of ``small``; all
     other keys by an ordinary shuffle join. ``how`` is ``inner`` or ``left``. The columns of ``small`` other
-    than ``key`` must not occur in ``big``. Null keys match nothing. ``rows``, an upper bound of the rows of
-    ``big`` where it is known, saves the search for hot keys in small tables.
+    than ``key`` must not occur in ``big``. Null keys match nothing. ``big`` is counted
+    per key first: hand in what is cheap to read twice.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    if rows is not None and rows <= least_rows:
-        return big.join(small, key, how)
     hot = hot_keys(big, key, least_rows).select(key)
     hot_values = [r[0] for r in hot.collect()]
     if not hot_values:

@@ -63,11 +63,10 @@ def page_positions(pool: DataFrame, group: str, order: Column, tie: Column, buck
     buckets and one more per 100,000 rows of the table.
     """
     cols = pool.columns
-    rows = pool.count() if buckets is None else None
-    buckets = buckets or 16 + rows // 100_000
+    buckets = buckets or 16 + pool.count() // 100_000
     o = pool.withColumn("_o", order.cast("double")).withColumn("_tie", tie)
     span = o.groupBy(group).agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-    o = skew_join(o, span, group, rows=rows)
+    o = skew_join(o, span, group)
     place = F.floor((F.col("_o") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
     o = o.withColumn("_b", F.coalesce(place, F.lit(buckets)).cast("int"))
     counts = o.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
