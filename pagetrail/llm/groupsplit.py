@@ -22,20 +22,20 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = cut(edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     pairs = edges.where("u > v")
-    n = edges.count()
     seen = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew_join(both, least, "u", rows=2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # used for the minima, the search for hot keys and both branches of the join, so it is made once
+        large = cut(skew_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew_join(large, low, "u", rows=2 * n)
+        small = skew_join(large, low, "u")
         pairs = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             roots = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
             return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        seen, n = now, now[0]
+        seen = now
     raise RuntimeError("components didn't settle")
 
 
@@ -47,20 +47,19 @@ def connected_records(df: DataFrame, record: str, names: list[Column]) -> DataFr
     record that names it, so the graph is over longs and has an edge only where a row names several entities.
     Rows that name nothing stand alone; an empty table gives no rows.
     """
-    n = df.count()
     named = df.select(F.col(record).alias("record"), F.array_distinct(F.array_compact(F.array(*names))).alias("es"))
     links = named.select("record", F.explode("es").alias("e"))
     entities = cut(links.groupBy("e").agg(F.min("record").alias("rep")))
     several = named.where(F.size("es") > 1).select(F.explode(F.sequence(F.lit(1), F.size("es") - 1)).alias("i"), "es")
     bridges = several.select(F.element_at("es", F.col("i")).alias("a"), F.element_at("es", F.col("i") + 1).alias("b")).distinct()
-    half = skew_join(bridges.withColumnRenamed("a", "e"), entities, "e", rows=n * (len(names) - 1)).select(F.col("b").alias("e"), F.col("rep").alias("u"))
-    edges = skew_join(half, entities.withColumnRenamed("rep", "v"), "e", rows=n * (len(names) - 1)).select("u", "v")
+    half = skew_join(bridges.withColumnRenamed("a", "e"), entities, "e").select(F.col("b").alias("e"), F.col("rep").alias("u"))
+    edges = skew_join(half, entities.withColumnRenamed("rep", "v"), "e").select("u", "v")
     roots = components(edges)
     of_entity = entities.join(roots, entities["rep"] == roots["node"], "left").select("e", F.coalesce("root", "rep").alias("root"))
-    member = skew_join(named.select("record", F.try_element_at("es", F.lit(1)).alias("e")), of_entity, "e", "left", rows=n)
+    member = skew_join(named.select("record", F.try_element_at("es", F.lit(1)).alias("e")), of_entity, "e", "left")
     member = member.select("record", F.coalesce("root", "record").alias("root"))
     first = member.groupBy("root").agg(F.min("record").alias("first"))
-    return skew_join(member, first, "root", rows=n).select("record", "first")
+    return skew_join(member, first, "root").select("record", "first")
 
 
 def assign_splits(members: DataFrame, group: str, shares: DataFrame, seed: int = 0) -> DataFrame:

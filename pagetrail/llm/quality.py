@@ -187,15 +187,13 @@ def case_expression(rules: list[Rule]) -> str:
     return "CASE WHEN blank THEN NULL " + " ".join(r.sql() for r in rules) + " ELSE 'prose' END"
 
 
-def classify(df: DataFrame, labels: DataFrame, doc: str, text: str, kind: str = "kind", max_labelled: int = 20_000, all_statistics: bool = True) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, doc: str, text: str, kind: str = "kind", max_labelled: int = 20_000) -> DataFrame:
     """``statistics`` of every row with ``kind``: prose, list, table, junk, or null for null and blank text.
 
-    Without ``all_statistics`` only those that the rules ask for are computed.
-
     The rules are learned from a bounded sample of labelled rows (``max_labelled``); statistics and the
     learned CASE expression run natively over all rows.
     """
-    labelled = df.join(F.broadcast(labels.select(doc).distinct().orderBy(F.xxhash64(doc, F.lit(0)), doc).limit(max_labelled)), doc, "left_semi")
+    told = labels.where(F.col(kind).isin("prose", *KINDS)).select(doc).distinct().orderBy(F.xxhash64(doc, F.lit(0)), doc).limit(max_labelled)
+    labelled = df.join(F.broadcast(told), doc, "left_semi")
     rules = learn(statistics(labelled, doc, text), labels, doc, kind, max_labelled)
-    only = FEATURES if all_statistics else [f for f in FEATURES if any(f == c[0] for r in rules for c in r.conditions)]
-    return statistics(df, doc, text, only).withColumn("kind", F.expr(case_expression(rules)))
+    return statistics(df, doc, text).withColumn("kind", F.expr(case_expression(rules)))

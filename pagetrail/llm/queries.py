@@ -196,14 +196,14 @@ def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, sf_dir: str, all_statistics: bool = True) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return quality.classify(docs, table(spark, sf_dir, "doc_labels"), "doc_id", "text", all_statistics=all_statistics)
+    return quality.classify(docs, table(spark, sf_dir, "doc_labels"), "doc_id", "text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't natural prose."""
-    return _judged(spark, sf_dir, False).where("kind <> 'prose'").select("doc_id")
+    return _judged(spark, sf_dir).where("kind <> 'prose'").select("doc_id")
 
 
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
