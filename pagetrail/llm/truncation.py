@@ -46,7 +46,16 @@ def storage_limits(texts: DataFrame, least_rows: int = 6, spike: float = 4.0, be
     it that stand out too: cut texts that lost a trailing space or half a character. Only counts per length
     are shuffled.
     """
-    counts = texts.groupBy("source", "field", *ENCODINGS).agg(F.count(F.lit(1)).alias("n"))
+    return limits_of(length_counts(texts), least_rows, spike, beyond)
+
+
+def length_counts(texts: DataFrame) -> DataFrame:
+    """``(source, field, *lengths, n)``: how many texts have these lengths."""
+    return texts.groupBy("source", "field", *ENCODINGS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def limits_of(counts: DataFrame, least_rows: int = 6, spike: float = 4.0, beyond: float = 0.02) -> DataFrame:
+    """``storage_limits`` of ``length_counts``."""
     each = counts.select("source", "field", "n", F.inline(F.array(*[F.struct(F.lit(e).alias("encoding"), F.lit(i).alias("place"), F.col(e).alias("len")) for i, e in enumerate(ENCODINGS)])))
     by_len = each.groupBy("source", "field", "encoding", "place", "len").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("source", "field", "encoding").orderBy("len")
@@ -54,7 +63,7 @@ def storage_limits(texts: DataFrame, least_rows: int = 6, spike: float = 4.0, be
     above = F.coalesce(F.sum("n").over(w.rangeBetween(1, Window.unboundedFollowing)), F.lit(0))
     near = F.collect_list(F.struct("len", "n")).over(w.rangeBetween(-3, 0))
     found = by_len.select("*", below.alias("below"), above.alias("above"), near.alias("near"))
-    found = found.where((F.col("len") > 15) & (F.col("n") >= F.greatest(F.lit(least_rows), F.col("below") * spike)) & (F.col("above") <= F.col("n") * beyond))
+    found = found.where((F.col("n") >= F.greatest(F.lit(least_rows), F.col("below") * spike)) & (F.col("above") <= F.col("n") * beyond))
     rise = F.col("n") - F.col("below")
     found = found.withColumn("top", F.max(rise).over(Window.partitionBy("source", "field"))).where(rise >= 0.95 * F.col("top"))
     best = Window.partitionBy("source", "field").orderBy("place", F.desc(rise))
@@ -69,24 +78,58 @@ SENTENCE = r"[.?!:] \S"
 _TERMINAL = r"[.?!。！？][\"'”’»)\]]*$"
 
 
-def _parts(text: Column) -> dict[str, Column]:
-    """What tells how a text ends: its class, and the pieces whose frequency shows if such an ending is usual.
+def _step(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, evaluated once each: by way of a generator they aren't merged into what uses them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _with_endings(df: DataFrame) -> DataFrame:
+    """Adds what tells how a text ends: its form and class, and the pieces whose frequency shows if such an ending is usual.
 
     Digits are masked by 9; of a number only the digits after its first run keep their count ("9.99", "9-99-99").
     """
-    bare = F.col("bare")
+    text, bare = F.col("text"), F.col("bare")
+    form = F.when(text.rlike(r"^\s*[{\[]"), "json").when(F.contains(text, F.lit("://")) & text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "url").otherwise("text")
+    df = _step(df, marked=F.endswith(text, F.lit("…")) | F.endswith(text, F.lit("...")), form=form)
+    df = _step(df, bare=F.when(F.col("marked"), F.regexp_replace(text, MARK, "")).otherwise(text))
+    df = _step(df, digits=bare.rlike(r"\d"), terminal=bare.rlike(_TERMINAL), sentence=bare.rlike(SENTENCE), last=F.substring_index(F.rtrim(bare), " ", -1))
     masked = F.regexp_replace(F.regexp_replace(bare, r"\d", "9"), r"(?<![9.,:-])9+", "9")
-    digits = bare.rlike(r"\d")
+    df = _step(df, masked=F.when(F.col("digits"), masked).otherwise(bare))
+    is_text, masked = F.col("form") == "text", F.col("masked")
     last_field = F.when(bare.rlike(r"[?&]"), F.regexp_extract(masked, r"[?&]([^?&]*)$", 1)).otherwise(F.regexp_extract(masked, r"([^/]*)$", 1))
-    tail = F.substring_index(bare, ", ", -1)
-    return {
-        "form": F.col("form"),
-        "terminal": bare.rlike(_TERMINAL),
-        "last_field": F.when(F.col("form") == "url", last_field),
-        "tail": F.when((F.col("form") == "text") & F.contains(bare, F.lit(", ")), F.when(digits, F.substring_index(masked, ", ", -1)).otherwise(tail)),
-        "last": F.substring_index(F.rtrim(bare), " ", -1),
-        "shape": F.when((F.col("form") == "text") & digits, F.regexp_replace(F.regexp_replace(masked, r"\p{Lu}[\p{L}\p{M}]*", "A"), r"\p{Ll}[\p{L}\p{M}]*", "a")),
-    }
+    return _step(
+        df,
+        url=F.when(F.col("form") == "url", last_field),
+        tail=F.when(is_text & F.contains(bare, F.lit(", ")), F.substring_index(masked, ", ", -1)),
+        word=F.when(is_text, F.col("last")),
+        whole=F.when(is_text & (F.substring_index(text, " ", 4) == text), text),
+        shape=F.when(is_text & F.col("digits"), F.regexp_replace(F.regexp_replace(masked, r"\p{Lu}[\p{L}\p{M}]*", "A"), r"\p{Ll}[\p{L}\p{M}]*", "a")),
+        lower_end=F.col("last").rlike(r"^[\p{Ll}]|^[^\p{L}\p{N}]*$|[\p{Ll}][(/-]$"),
+    )
+
+
+#: Kinds of endings whose frequency is counted.
+ENDINGS = ("url", "tail", "word", "whole", "shape")
+
+
+def _usual(common: DataFrame) -> DataFrame:
+    """``(field, kind, value)`` of usual endings, without words that only begin a far more frequent one. The caller bounds their number."""
+    known: dict[tuple[str, str], dict[str, int]] = {}
+    for r in common.select("field", "kind", "value", "n").collect():
+        known.setdefault((r["field"], r["kind"]), {})[r["value"]] = r["n"]
+    out = []
+    for (field, kind), values in known.items():
+        ordered = sorted(values)
+        for i, v in enumerate(ordered):
+            longer = False
+            if kind == "word":
+                for other in ordered[i + 1 :]:
+                    if not other.startswith(v) or longer:
+                        break
+                    longer = values[other] > 5 * values[v]
+            if not longer:
+                out.append((field, kind, v))
+    return common.sparkSession.createDataFrame(out, "field string, kind string, value string")
 
 
 def truncated(df: DataFrame, key: str, source: str, fields: Sequence[str], usual: float = 0.0003) -> DataFrame:
@@ -105,78 +148,48 @@ def truncated(df: DataFrame, key: str, source: str, fields: Sequence[str], usual
     pairs = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in fields]))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), pairs).where(F.col("text").rlike(r"(?U)\S"))
     rows = rows.select("*", *[c.alias(e) for e, c in encoded_lengths(F.col("text")).items()])
-    limits = cut(storage_limits(rows))
+    counts = cut(length_counts(rows))
+    limits = cut(limits_of(counts))
     told = bounded_broadcast_join(rows, limits.select("source", "field", "encoding", "lengths"), ["source", "field"])
     length = F.coalesce(*[F.when(F.col("encoding") == e, F.col(e)) for e in ENCODINGS])
-    told = told.withColumn("limited", F.coalesce(F.array_contains("lengths", length), F.lit(False)))
-    marked = F.endswith("text", F.lit("…")) | F.endswith("text", F.lit("..."))
-    form = F.when(F.col("text").rlike(r"^\s*[{\[]"), "json").when(F.contains("text", F.lit("://")) & F.col("text").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), "url").otherwise("text")
-    told = told.withColumn("bare", F.when(marked, F.regexp_replace("text", MARK, "")).otherwise(F.col("text"))).withColumn("form", form)
-    told = told.select("key", "source", "field", "text", "limited", "bare", *[c.alias(n) for n, c in _parts(F.col("text")).items()])
-    whole = F.when(F.substring_index("text", " ", 4) == F.col("text"), F.col("text"))
-    told = told.withColumn("whole", whole).withColumn("lower_end", F.col("last").rlike(r"^[\p{Ll}]|^[^\p{L}\p{N}]*$|[\p{Ll}][(/-]$"))
-    told = told.withColumn("marked", F.endswith("text", F.lit("…")) | F.endswith("text", F.lit("...")))
-
-    # frequencies of endings among texts that aren't at a limit
-    kinds = {"url": F.when(F.col("form") == "url", F.col("last_field")), "tail": F.col("tail"), "word": F.col("last"), "whole": F.col("whole"), "shape": F.col("shape")}
-    kinds = {k: v if k == "url" else F.when(F.col("form") == "text", v) for k, v in kinds.items()}
-    free = told.where("not limited")
-    # a piece is counted only where a text's judgement may ask for it
+    told = told.select("key", "source", "field", "text", F.coalesce(F.array_contains("lengths", length), F.lit(False)).alias("limited"))
+    told = _with_endings(told)
+
+    # frequencies of endings among texts that aren't at a limit; a piece is counted only where a text's judgement may ask for it
     open_end = ~F.col("terminal") | F.col("marked")
-    doubtful = open_end & (F.col("lower_end") | F.col("shape").isNotNull() | F.col("tail").isNotNull() | F.col("marked") | F.col("bare").rlike(SENTENCE))
+    doubtful = open_end & (F.col("lower_end") | F.col("shape").isNotNull() | F.col("tail").isNotNull() | F.col("marked") | F.col("sentence"))
     asked = {"url": F.lit(True), "tail": open_end, "word": open_end & F.col("lower_end"), "whole": doubtful, "shape": open_end}
-    endings = free.select("field", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(asked[k], v).alias("value")) for k, v in kinds.items()])))
+    endings = told.where("not limited").select("field", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.when(asked[k], F.col(k)).alias("value")) for k in ENDINGS])))
     counted = endings.where("value is not null").groupBy("field", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows.groupBy("field").agg(F.count(F.lit(1)).alias("all"))
+    sizes = counts.groupBy("field").agg(F.sum("n").alias("all"))
     common = counted.join(F.broadcast(sizes), "field").where(F.col("n") >= F.greatest(F.lit(3), F.col("all") * usual))
-    # fewer than 1/usual endings of a kind can be that usual, so the sets below are bounded
-    known: dict[str, dict[str, dict[str, int]]] = {f: {k: {} for k in kinds} for f in fields}
-    for r in common.select("field", "kind", "value", "n").collect():
-        known[r["field"]][r["kind"]][r["value"]] = r["n"]
-    for f in fields:
-        # a word that begins a far more frequent one is such a word's beginning
-        words = known[f]["word"]
-        known[f]["word"] = {w: n for w, n in words.items() if not any(v != w and v.startswith(w) and m > 5 * n for v, m in words.items())}
-
-    def usual_end(kind: str) -> Column:
-        out = F.lit(False)
-        for f in fields:
-            values = sorted(known[f][kind])
-            if values:
-                out = F.when(F.col("field") == f, F.coalesce(kinds[kind].isin(values), F.lit(False))).otherwise(out)
-        return out
-
-    return told.select("key", "source", "field", "limited", _is_cut(usual_end).alias("cut"))
-
-
-def _is_cut(usual_end) -> Column:
-    text, bare, form, limited = F.col("text"), F.col("bare"), F.col("form"), F.col("limited")
-    marked, lower_end, sentence = F.col("marked"), F.col("lower_end"), bare.rlike(SENTENCE)
-    url_ok = usual_end("url")
+    # fewer than 1/usual endings of a kind can be that usual, so this table has at most fields x kinds / usual rows
+    known = cut(_usual(common))
+    for k in ENDINGS:
+        of_kind = known.where(F.col("kind") == k).select("field", F.col("value").alias(k), F.lit(True).alias(f"usual_{k}"))
+        told = told.join(F.broadcast(of_kind), ["field", k], "left")
+    return _step(told, cut=_is_cut()).select("key", "source", "field", "limited", "cut")
+
+
+def _is_cut() -> Column:
+    text, form, limited, marked, sentence = F.col("text"), F.col("form"), F.col("limited"), F.col("marked"), F.col("sentence")
+    url, tail, word, whole, shape = (F.coalesce(F.col(f"usual_{k}"), F.lit(False)) for k in ENDINGS)
     phrase = F.col("tail").isNotNull()
     function_word = F.lower(F.col("last")).isin(COMMON_WORDS)
     plain_cut = (
         F.when(F.col("terminal") & ~marked, False)
-        .when(usual_end("whole"), False)
+        .when(whole, False)
         .when(sentence, True)
-        .when(phrase, ~usual_end("tail"))
-        .when(F.col("shape").isNotNull(), ~usual_end("shape"))
-        .when(lower_end, ~usual_end("word") | function_word)
+        .when(phrase, ~tail)
+        .when(F.col("shape").isNotNull(), ~shape)
+        .when(F.col("lower_end"), ~word | function_word)
         .otherwise(False)
     )
-    at_limit = (
-        F.when(F.col("terminal") & ~marked, False)
-        .when(usual_end("whole"), False)
-        .when(marked, True)
-        .when(phrase, ~usual_end("tail"))
-        .when(F.col("shape").isNotNull(), ~usual_end("shape"))
-        .otherwise(True)
-    )
+    at_limit = F.when(F.col("terminal") & ~marked, False).when(whole, False).when(marked, True).when(phrase, ~tail).when(F.col("shape").isNotNull(), ~shape).otherwise(True)
     return (
         F.when(text.rlike("�$"), True)
         .when(form == "json", ~text.rlike(r"[}\]]\s*$"))
-        .when(form == "url", ~url_ok)
+        .when(form == "url", ~url)
         .when(limited, at_limit)
-        .when(marked, F.when(usual_end("whole"), False).otherwise(plain_cut))
         .otherwise(plain_cut)
     )
