@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LANDMARK_TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "main": "main"}
+#: Regions of a page by tag and by role.
+LANDMARK_TAGS = {tag: tag for tag in ("nav", "header", "footer", "aside", "main", "form", "dialog")}
+LANDMARK_ROLES = {
+    "navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "main": "main", "form": "form", "search": "form", "dialog": "dialog",
+}
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 SKIPPED = frozenset({"script", "style"})
 
@@ -35,9 +39,10 @@ class _Elements(HTMLParser):
         parent = self.open[-1] if self.open else -1
         up = self.rows[parent] if parent >= 0 else None
         values = {k: v or "" for k, v in attrs}
-        landmark = LANDMARK_TAGS.get(tag) or (up["landmark"] if up else "main")
+        landmark = up["within"] if up else "main"  # the region of its ancestors; an element isn't in its own
         self.rows.append(
             {"tag": tag, "attrs": values, "parent": parent, "depth": len(self.open), "landmark": landmark, "end": here,
+             "within": LANDMARK_ROLES.get(values.get("role")) or LANDMARK_TAGS.get(tag) or landmark,
              "section": "" if landmark in ("nav", "header", "footer") else self.section, "row": here if tag in ("li", "tr") else (up["row"] if up else -1)}
         )
         self.texts.append([])

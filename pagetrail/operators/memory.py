@@ -24,7 +24,7 @@ def outcome(url_before: Column, url: Column, page_changed: Column) -> Column:
 
 
 def attempts(history: DataFrame) -> DataFrame:
-    """(run_id, step, url, operation, label, display, value, outcome, failed, completed).
+    """(run_id, step, url, operation, label, display, value, outcome, failed, completed), and planned if ``history`` has it.
 
     ``url`` is the page the action ran on, without fragment; ``label`` the folded action label. A tool's own
     verdict decides if it failed; else no change is a failure, except for typing and for clicks on editable
@@ -35,6 +35,7 @@ def attempts(history: DataFrame) -> DataFrame:
         "run_id", "step", here.alias("url"), F.coalesce(F.nullif("operation", F.lit("")), F.upper("kind"), F.lit("")).alias("operation"),
         X.normalised(F.coalesce("action", F.lit(""))).alias("label"), F.coalesce("action", F.lit("")).alias("display"), F.coalesce("text", F.lit("")).alias("value"),
         outcome(F.col("url_before"), F.col("url"), F.col("page_changed")).alias("outcome"), F.coalesce("role", F.lit("")).alias("role"), "tool_ok",
+        *(["planned"] if "planned" in history.columns else []),
     )
     still = F.col("outcome") == "no_change"
     focus = (F.col("operation") == "CLICK") & F.col("role").isin(EDITABLE_ROLES)
@@ -62,19 +63,22 @@ def usable(elements: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def streaks(tried: DataFrame) -> DataFrame:
-    """Per action the ``streak`` of actions up to it without a change of address, and ``done``, the completed so far."""
+    """Per action the ``streak`` of actions up to it without a change of address, ``done``, the completed so far, and
+    ``planned_done``, those of them that a plan asked for (all, if ``tried`` has no column ``planned``)."""
     w = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     n = F.row_number().over(Window.partitionBy("run_id").orderBy("step"))
     rows = tried.withColumn("_n", n).withColumn("done", F.count_if("completed").over(w))
+    planned = F.coalesce("planned", F.lit(False)) if "planned" in tried.columns else F.lit(True)
+    rows = rows.withColumn("planned_done", F.count_if(F.col("completed") & planned).over(w))
     last_move = F.max(F.when(F.col("outcome") == "url_changed", F.col("_n"))).over(w)
     return rows.withColumn("streak", F.col("_n") - F.coalesce(last_move, F.lit(0)))
 
 
 def stalled(streaked: DataFrame) -> DataFrame:
-    """Adds ``stalled``: four actions or more without a change of address and nothing completed in the last four."""
+    """Adds ``stalled``: four actions or more without a change of address and no planned one completed in the last four."""
     w = Window.partitionBy("run_id").orderBy("step")
-    before = F.coalesce(F.lag("done", STALL_ACTIONS).over(w), F.lit(0))
-    return streaked.withColumn("stalled", (F.col("streak") >= STALL_ACTIONS) & (F.col("_n") >= STALL_ACTIONS) & (F.col("done") == before)).drop("_n")
+    before = F.coalesce(F.lag("planned_done", STALL_ACTIONS).over(w), F.lit(0))
+    return streaked.withColumn("stalled", (F.col("streak") >= STALL_ACTIONS) & (F.col("_n") >= STALL_ACTIONS) & (F.col("planned_done") == before)).drop("_n")
 
 
 def blocked(history: DataFrame) -> DataFrame:

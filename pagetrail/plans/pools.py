@@ -47,9 +47,18 @@ def section_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of a page to one address: the first label, and the other labels in page order as aliases."""
-    links = described(spark, sf_dir).where("tag = 'a'").select("page_key", "pos", "label", F.element_at("attrs", "href").alias("href"))
-    grouped = links.where("href is not null and not endswith(href, '#')").groupBy("page_key", "href")
+    """Links of a page to one address: the first label, and the other labels in page order as aliases.
+
+    Only http(s) addresses that don't end in "#" merge; every other link stays a row of its own. Addresses from
+    the root of a site are completed by the website that the page is from.
+    """
+    links = described(spark, sf_dir).where("tag = 'a'").select("page_key", "pos", "label", F.element_at("attrs", "href").alias("link")).where("link is not null")
+    sites = table(spark, sf_dir, "tasks", F.col("task_row").cast("string").alias("task"), "website")
+    links = links.withColumn("task", F.substring_index("page_key", ":", 1)).join(sites, "task", "left")
+    here = F.when(F.col("link").startswith("/") & (F.col("website") != ""), F.concat(F.lit("https://"), "website", "link"))
+    links = links.withColumn("href", F.coalesce(here, F.col("link")))
+    own = F.when(~U.merges(F.col("href")), F.col("pos")).otherwise(F.lit(-1))
+    grouped = links.groupBy("page_key", "href", own.alias("own"))
     listed = grouped.agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("l"), F.count(F.lit(1)).alias("n"))
     labels = F.transform("l", lambda x: x["label"])
     first = F.element_at(labels, 1)
@@ -70,9 +79,12 @@ def elements_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pool_id", "id").agg(F.min("cand_row").alias("first_row"), F.count(F.lit(1)).alias("n"), F.array_join(ops, ",").alias("ops"))
 
 
-def latest_pool(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+def latest_pool(spark: SparkSession, sf_dir: str, keyed: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """The last row of every element of a pool, in page order: (pool, id, label, value, role, ops, hints, i, n).
 
+    With ``wanted(pool, gold_op)`` only the elements of these pools that allow the operation are kept, and their
+    places and number are those within the operation's pool.
+
     With ``keyed``, pools are named by ``pool_key``, and those that differ in the spelling of their task id only are one.
     """
     rows = table(spark, sf_dir, "candidates", "pool_id", "id", "label", "value", "role", "ops", "hints", "doc_order", "captured_at", "cand_row")
@@ -80,6 +92,8 @@ def latest_pool(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFr
         rows = rows.withColumn("pool_id", X.pool_key(F.col("pool_id")))
     w = Window.partitionBy("pool_id", "id").orderBy(F.col("captured_at").desc_nulls_last(), F.desc("cand_row"))
     last = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumnRenamed("pool_id", "pool")
+    if wanted is not None:
+        last = last.join(wanted.select("pool", "gold_op"), "pool").where(F.array_contains("ops", F.col("gold_op")))
     placed = R.page_positions(last.select("pool", "id", "label", "value", "role", "ops", "hints", "doc_order"), "pool", F.col("doc_order"), F.col("id"))
     return placed.drop("doc_order")
 
@@ -125,15 +139,15 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold_pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pools with a gold element, whole, with their queries and gold: only these are ranked; they are read, reduced and placed once."""
-    gold = cut(_gold(spark, sf_dir))
-    pool = cut(latest_pool(spark, sf_dir, keyed=True).join(gold.select("pool"), "pool", "left_semi"))
+    """The pools of the gold elements' operations, with their queries and gold: only these are ranked; they are read, reduced and placed once."""
+    gold = cut(_gold(spark, sf_dir).where("gold_op is not null"))
+    pool = cut(latest_pool(spark, sf_dir, keyed=True, wanted=gold))
     queries = cut(_queries(spark, sf_dir, keyed=True).join(gold.select("pool"), "pool", "left_semi"))
     return pool, queries, gold
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str, variant: R.Variant = R.PRODUCTION) -> DataFrame:
-    """Recall at 20, 30, 40 and 60 by split and scope (all steps, clicks only)."""
+    """Recall at 20, 30, 40 and 60 by split and scope (all steps, clicks only), each step ranked within its operation's pool."""
     pool, queries, gold = _gold_pools(spark, sf_dir)
     ranks = R.gold_ranks(R.scored(pool, queries, variant), gold)
     scoped = ranks.withColumn("scope", F.explode(F.when(F.col("gold_op") == "CLICK", F.array(F.lit("all"), F.lit("click"))).otherwise(F.array(F.lit("all")))))

@@ -66,7 +66,26 @@ GOLD = f"""
 g0 AS (SELECT task_id || ':' || step AS pool, arg_min({{'id': gold_id, 'op': gold_op, 'w': website}}, case_id) AS g FROM step_cases
   WHERE valid_gold AND task_id IS NOT NULL AND gold_id IS NOT NULL GROUP BY 1),
 gold AS (SELECT pool, g.id AS gold_id, g.op AS gold_op, {_MD5.replace("website", "g.w")} AS dev FROM g0)"""
-_RANKS = f"""WITH {SCORED},{GOLD},
+
+def _hex(c: str) -> str:
+    return f"coalesce(nullif(regexp_replace(regexp_extract(lower({c}), '[0-9a-f]([-_ ]?[0-9a-f]){{31}}'), '[-_ ]', '', 'g'), ''), nullif(trim(lower({c})), ''))"
+
+
+#: The ranking of each gold element within the pool of its operation, task ids in one spelling.
+_POOL_KEY = f"""CASE WHEN pool_id LIKE 'live:%' OR NOT regexp_matches(pool_id, '(?s)^.*:[0-9]+$') THEN pool_id
+  ELSE {_hex("regexp_extract(pool_id, '(?s)^(.*):([0-9]+)$', 1)")} || ':' || regexp_extract(pool_id, '(?s)^(.*):([0-9]+)$', 2) END"""
+_OP_RANKS = f"""WITH
+g0 AS (SELECT {_hex("task_id")} || ':' || step AS pool, arg_min({{'id': gold_id, 'op': gold_op, 'w': website}}, case_id) AS g FROM step_cases
+  WHERE valid_gold AND {_hex("task_id")} IS NOT NULL AND gold_id IS NOT NULL GROUP BY 1),
+gold AS (SELECT pool, g.id AS gold_id, g.op AS gold_op, {_MD5.replace("website", "g.w")} AS dev FROM g0 WHERE g.op IS NOT NULL),
+keyed AS (SELECT *, {_POOL_KEY} AS pk FROM candidates),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk, id ORDER BY captured_at DESC NULLS LAST, cand_row DESC) AS rn FROM keyed) WHERE rn = 1),
+op_last AS (SELECT last.*, gold.gold_op FROM last JOIN gold ON gold.pool = pk WHERE list_contains(ops, gold.gold_op)),
+pool AS (SELECT pk AS pool, id, label, value, role, ops, hints, row_number() OVER (PARTITION BY pk ORDER BY doc_order NULLS LAST, id NULLS LAST) - 1 AS i,
+  count(*) OVER (PARTITION BY pk) AS n FROM op_last),
+ft AS (SELECT {_hex("annotation_id")} AS annotation_id, arg_min({{'g': confirmed_task, 'n': len(actions)}}, task_row) AS t FROM tasks GROUP BY 1),
+q AS (SELECT annotation_id || ':' || s AS pool, g AS goal FROM (SELECT annotation_id, t.g AS g, unnest(range(t.n)) AS s FROM ft WHERE t.n > 0)),
+{SCORED.split(_QUERIES + ",")[1]},
 rk AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY points DESC, i) - 1 AS rank FROM points),
 gr AS (SELECT pool, gold_op, dev, n, rank FROM rk JOIN gold USING (pool) WHERE id = gold_id)"""
 _OPTION = """coalesce(nullif(left({l}, 70), ''), nullif(coalesce(role, ''), ''), 'unnamed')
@@ -84,8 +103,10 @@ parts AS (SELECT page_key, unnest(string_split_regex(html, '<h1[^>]*>')) AS p, u
 SELECT CASE WHEN k = 0 THEN '' ELSE left({_squash(_plain("regexp_extract(p, '^([^<]*)<', 1)"))}, 80) END AS section, CAST(sum(len(regexp_extract_all(p, '<a '))) AS BIGINT) AS links
 FROM parts GROUP BY 1 HAVING links > 0""",
     "link_merge": f"""{_ELEMENTS},
-l AS (SELECT page_key, href, label, row_number() OVER () AS pos FROM done WHERE tag = 'a' AND has_href AND href NOT LIKE '%#'),
-g AS (SELECT page_key, href, list(label ORDER BY pos) AS ls, count(*) AS n FROM l GROUP BY 1, 2)
+l0 AS (SELECT page_key, label, row_number() OVER () AS pos, CASE WHEN href LIKE '/%' AND website <> '' THEN 'https://' || website || href ELSE href END AS href
+  FROM done LEFT JOIN tasks ON task_row = CAST(split_part(page_key, ':', 1) AS BIGINT) WHERE tag = 'a' AND has_href),
+l AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') AND href NOT LIKE '%#' THEN -1 ELSE pos END AS own FROM l0),
+g AS (SELECT page_key, href, own, list(label ORDER BY pos) AS ls, count(*) AS n FROM l GROUP BY 1, 2, 3)
 SELECT page_key, href, ls[1] AS label, array_to_string(list_filter(list_filter(ls, lambda x, i: list_position(ls, x) = i), lambda x: x <> ls[1] AND x <> ''), '|') AS aliases, n FROM g""",
     "detour_filter": r"""SELECT website, count(*) AS n, count(*) FILTER (NOT regexp_matches(coalesce(goal, ''), '(?i)\b(edit\w*|history|revisions?|source)\b') AND
   (regexp_matches(regexp_extract(final_url, '\?([^#]*)', 1), '(^|&)action=(edit|history|raw|info)(&|$)')
@@ -96,7 +117,7 @@ FROM candidates GROUP BY 1, 2""",
     "shortlist_top20": f"""WITH {SCORED}
 SELECT pool, id, CAST(i AS INT) AS i, CAST(rank AS INT) AS rank, round(points, 6) AS points
 FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY points DESC, i) - 1 AS rank FROM points) WHERE rank < 20""",
-    "recall_at_k": f"""{_RANKS},
+    "recall_at_k": f"""{_OP_RANKS},
 sc AS (SELECT *, 'all' AS scope FROM gr UNION ALL SELECT *, 'click' FROM gr WHERE gold_op = 'CLICK'),
 k AS (SELECT unnest([20, 30, 40, 60]) AS k)
 SELECT dev, scope, CAST(k AS INT) AS k, count(*) AS steps, avg(CASE WHEN n <= k OR rank < k THEN 1.0 ELSE 0.0 END) AS recall FROM sc, k GROUP BY 1, 2, 3""",

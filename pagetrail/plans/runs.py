@@ -23,6 +23,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "step", F.col("s.operation").alias("operation"), kind.alias("kind"), F.col("s.action").alias("action"), F.col("s.text").alias("text"),
         F.col("s.url_before").alias("url_before"), F.col("s.url_after").alias("url"), F.col("s.page_changed").alias("page_changed"),
         F.lit("").alias("role"), F.lit(None).cast("boolean").alias("tool_ok"),
+        F.coalesce(F.trim("s.instruction") != "", F.lit(False)).alias("planned"),
     )
 
 
@@ -52,6 +53,7 @@ def blocked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stalled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First step at which a run was stalled. Adapter: a step with an instruction was planned."""
     rows = memory.stalled(memory.streaks(memory.attempts(history(spark, sf_dir)))).where("stalled")
     return rows.groupBy("run_id").agg(F.min("step").alias("first_step"))
 

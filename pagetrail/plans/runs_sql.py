@@ -73,8 +73,9 @@ SQL = {
 b AS (SELECT run_id, step, count(*) FILTER (s.page_changed = false AND coalesce(s.operation, '') <> 'WAIT') OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM h)
 SELECT run_id, CAST(min(step) AS INT) AS first_step FROM b WHERE k = 3 GROUP BY 1""",
     "stalled_runs": f"""WITH {_STREAK},
-s4 AS (SELECT *, coalesce(lag(done, 4) OVER (PARTITION BY run_id ORDER BY step), 0) AS before FROM st)
-SELECT run_id, CAST(min(step) AS INT) AS first_step FROM s4 WHERE streak >= 4 AND rn >= 4 AND done = before GROUP BY 1""",
+pl AS (SELECT st.*, count(*) FILTER (NOT failed AND coalesce(trim(h.s.instruction), '') <> '') OVER (PARTITION BY run_id ORDER BY step) AS planned_done FROM st JOIN h USING (run_id, step)),
+s4 AS (SELECT *, coalesce(lag(planned_done, 4) OVER (PARTITION BY run_id ORDER BY step), 0) AS before FROM pl)
+SELECT run_id, CAST(min(step) AS INT) AS first_step FROM s4 WHERE streak >= 4 AND rn >= 4 AND planned_done = before GROUP BY 1""",
     "step_urls": f"WITH {_HISTORY} SELECT run_id, CAST(step AS INT) AS step, coalesce(lag(s.url_after) OVER (PARTITION BY run_id ORDER BY step), start) AS url_before, s.url_after AS url FROM h",
     "budget_actions": f"WITH {_HISTORY} SELECT run_id, least(count(*), 3) AS n FROM h GROUP BY 1",
     "history_all": f"""WITH {_HISTORY}, l AS (SELECT run_id, step, {_LINE} AS line FROM h)
