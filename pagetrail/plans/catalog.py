@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetrail.plans import extras, extras_sql, nested, pools, pools_sql, runs, runs_sql
+from pagetrail.plans import extras, extras_sql, nested, pools, pools_sql, requests, runs, runs_sql
 
-QUERIES = {**nested.QUERIES, **pools.QUERIES, **runs.QUERIES, **extras.QUERIES}
-SQL = {**nested.SQL, **pools_sql.SQL, **runs_sql.SQL, **extras_sql.SQL}
+QUERIES = {**nested.QUERIES, **pools.QUERIES, **runs.QUERIES, **extras.QUERIES, **requests.QUERIES}
+SQL = {**nested.SQL, **pools_sql.SQL, **runs_sql.SQL, **extras_sql.SQL, **requests.SQL}
 FLAGSHIP = pools.shortlist_top20

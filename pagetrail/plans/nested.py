@@ -39,6 +39,40 @@ def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DECISION = {"choice": "string", "operation": "string", "target": "string", "confidence": "double", "latency_ms": "int", "actor_ms": "int", "route": "string"}
+STEP = {
+    "n": "int", "operation": "string", "action": "string", "text": "string", "policy_ms": "int", "page_changed": "boolean",
+    "url_before": "string", "url_after": "string", "route": "string", "instruction": "string",
+}
+
+
+def _of_runs(spark: SparkSession, sf_dir: str, array: str, fields: dict[str, str]) -> DataFrame:
+    runs = nested_table(spark, sf_dir, "live_runs", {"run_id", array, *fields})
+    rows = entity_table(adjacency(runs, "run_id", [array]), array, list(fields))
+    return rows.select(F.col("record").alias("run_id"), F.col("ordinal").alias("pos"), *[F.col(f).cast(t).alias(f) for f, t in fields.items()])
+
+
+def p4_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of decisions with all their fields; their answers and usage are tables of their own."""
+    return _of_runs(spark, sf_dir, "decisions", DECISION)
+
+
+def p4_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of steps with all their fields."""
+    return _of_runs(spark, sf_dir, "steps", STEP)
+
+
+def p4_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity table of actions with their operation; their candidates are a table of their own."""
+    tasks = nested_table(spark, sf_dir, "tasks", {"task_row", "actions", "action_uid", "cleaned_html", "operation", "op", "original_op", "value"})
+    nodes = adjacency(tasks, "task_row", ["actions"])
+    acts = entity_table(nodes, "actions", ["action_uid", "cleaned_html"]).select("record", "node", "ordinal", "action_uid", "cleaned_html")
+    done = entity_table(nodes, "operation", ["op", "original_op", "value"]).select("record", F.col("parent").alias("node"), "op", "original_op", "value")
+    return acts.join(done, ["record", "node"], "left").select(
+        F.col("record").alias("task_row"), F.col("ordinal").alias("pos"), "action_uid", "cleaned_html", "op", "original_op", "value",
+    )
+
+
 def p4_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third level: the answers inside decisions, linked to run and decision."""
     runs = nested_table(spark, sf_dir, "live_runs", {"run_id", "decisions", "answers", "question", "choice", "confidence"})
@@ -59,7 +93,9 @@ def p4_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_candidates": p4_candidates, "p4_answers": p4_answers, "p4_usage": p4_usage}
+QUERIES = {
+    "p4_found": p4_found, "p4_decisions": p4_decisions, "p4_steps": p4_steps, "p4_actions": p4_actions, "p4_candidates": p4_candidates, "p4_answers": p4_answers, "p4_usage": p4_usage,
+}
 
 SQL = {
     "p4_found": """
@@ -74,6 +110,16 @@ SELECT task_row AS parent_id, arr, CAST(i AS INT) AS parent_pos, CAST(j AS INT)
 FROM ce WHERE els[j + 1] IS NOT NULL
 UNION ALL SELECT run_id, 'decisions', -1, CAST(j AS INT), coalesce(decisions[j + 1].choice, '') FROM d WHERE decisions[j + 1] IS NOT NULL
 UNION ALL SELECT run_id, 'steps', -1, CAST(j AS INT), coalesce(CAST(steps[j + 1].n AS VARCHAR), '') FROM s WHERE steps[j + 1] IS NOT NULL""",
+    "p4_decisions": f"""
+WITH d AS (SELECT run_id, unnest(range(len(decisions))) AS j, decisions FROM live_runs)
+SELECT run_id, CAST(j AS INT) AS pos, {", ".join(f"decisions[j + 1].{f} AS {f}" for f in DECISION)} FROM d WHERE decisions[j + 1] IS NOT NULL""",
+    "p4_steps": f"""
+WITH s AS (SELECT run_id, unnest(range(len(steps))) AS j, steps FROM live_runs)
+SELECT run_id, CAST(j AS INT) AS pos, {", ".join(f"steps[j + 1].{f} AS {f}" for f in STEP)} FROM s WHERE steps[j + 1] IS NOT NULL""",
+    "p4_actions": """
+WITH a AS (SELECT task_row, unnest(range(len(actions))) AS i, actions FROM tasks), e AS (SELECT task_row, i, actions[i + 1] AS a FROM a)
+SELECT task_row, CAST(i AS INT) AS pos, a.action_uid AS action_uid, a.cleaned_html AS cleaned_html, a.operation.op AS op,
+  a.operation.original_op AS original_op, a.operation.value AS value FROM e WHERE a IS NOT NULL""",
     "p4_candidates": """
 WITH a AS (SELECT task_row, unnest(range(len(actions))) AS i, actions FROM tasks),
 acts AS (SELECT task_row, i, actions[i + 1] AS act FROM a),
