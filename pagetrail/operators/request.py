@@ -21,7 +21,7 @@ def step_goal(instruction: Column, goal: Column) -> Column:
 
 
 def recent_fields(steps: Column, upto: Column, n: int = FIELD_ACTIONS) -> Column:
-    """``action=text`` of the last ``n`` steps among the first ``upto``, oldest first; null steps are skipped, null texts are empty."""
+    """``action=text`` of the last ``n`` steps among the first ``upto``, oldest first; null steps are skipped, null texts are empty, null ``upto`` is none."""
     past = F.filter(F.slice(steps, F.lit(1), F.greatest(upto, F.lit(0))), lambda s: s.isNotNull())
     last = F.slice(past, F.greatest(F.size(past) - (n - 1), F.lit(1)), F.lit(n))
     return F.transform(last, lambda s: F.concat(F.coalesce(s["action"], F.lit("")), F.lit("="), F.coalesce(s["text"], F.lit(""))))
