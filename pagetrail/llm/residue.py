@@ -215,13 +215,13 @@ def recurring_lines(rows: DataFrame, wide_share: float) -> DataFrame:
     return cut(judged(wide, "line", "class").select("h", "sites", "class", F.lower("line").rlike(NARRATIVE).alias("narrative")))
 
 
-def residue(fields: DataFrame, wide_share: float = 0.02) -> DataFrame:
+def residue(fields: DataFrame, wide_share: float = 0.02, notice_sites: int = 5) -> DataFrame:
     """``(src, rec_id, field, kind)``: fields that hold residue instead of content.
 
     ``fields`` has src, rec_id, field, website and text, one row per field. kind is ``placeholder`` (an unfilled
     placeholder anywhere that the sentence doesn't merely name), or, if nothing but menu words surrounds it,
     ``filler`` (short headings may stand between it), ``error`` or ``scripts``; ``notice`` is a text all of whose
-    lines recur on many websites, at least one of them a sentence, though no phrase rule knows it.
+    lines recur on many websites (``notice_sites`` at least), one of them a sentence, though no phrase rule knows it.
 
     Numbers, addresses, dates and placeholders are masked and all lines grouped by the exact hash of what is
     left, counting the websites that each occurs on. Groups on at least ``wide_share`` of all websites (two at
@@ -247,14 +247,14 @@ def residue(fields: DataFrame, wide_share: float = 0.02) -> DataFrame:
     lines = bounded_broadcast_join(lines.withColumn("h", F.xxhash64(normalised(F.col("line")))), recurring, ["h"])
     recurs = F.col("sites").isNotNull()
     lines = judged(lines.withColumn("unknown", F.when(~recurs, F.col("line"))), "unknown", "own")
-    lines = lines.select(*keys, "is_title", "n", "pos", recurs.alias("recurs"), "narrative", F.coalesce("class", "own").alias("class"))
+    lines = lines.select(*keys, "is_title", "n", "pos", recurs.alias("recurs"), "sites", "narrative", F.coalesce("class", "own").alias("class"))
     message = F.col("class").isin("scripts", "error", "filler")
     # a title may end in its site's name; any other short line beside a message must be a menu word
     foreign = (F.col("class") == "short") & ~F.col("recurs") & ~(F.col("is_title") & (F.col("pos") == F.col("n") - 1))
     per = lines.groupBy(*keys, "is_title").agg(
         F.min_by("class", F.when(message, F.col("pos"))).alias("kind"), F.bool_or(F.col("class") == "content").alias("content"),
         F.count_if(foreign).alias("foreign"), F.count_if(F.col("class") == "filler").alias("fillers"), F.count_if(message).alias("messages"),
-        F.bool_and(F.col("recurs") & ~F.coalesce("narrative", F.lit(False))).alias("all_recur"), F.bool_or(F.col("class") == "content").alias("sentence"),
+        F.bool_and((F.coalesce("sites", F.lit(0)) >= notice_sites) & ~F.coalesce("narrative", F.lit(False))).alias("all_recur"), F.bool_or(F.col("class") == "content").alias("sentence"),
     )
     # a filler page may keep short headings of its own, not more than it has lines of filler
     spare = F.when(F.col("kind") == "filler", F.col("fillers")).otherwise(0)

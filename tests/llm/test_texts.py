@@ -144,3 +144,20 @@ def test_statistics_and_rules(spark):
     empty = spark.createDataFrame([], "d long, kind string")
     got = quality.classify(spark.createDataFrame([(1, "Some text here."), (2, "")], "d long, text string"), empty, "d", "text").collect()
     assert {x.d: x.kind for x in got} == {1: "prose", 2: None}
+
+
+def test_recurring_notices_long_messages_and_long_placeholders(spark):
+    unknown = "Questo negozio riapre tra poco, torna a trovarci"
+    rows = [("live_runs", i, "final_text", f"site{i}", f"{unknown} {i}" if i < 41 else f"Own words of site number {'abcdefghij'[i % 10] * (i - 39)} about its goods and people.") for i in range(80)]
+    long = "We could not load the page. " + "The people who look after this service have been told and work on it right now, so " * 5 + "please come back."
+    rows += [
+        ("live_runs", 100, "final_text", "a", long), ("live_runs", 101, "final_text", "a", "Dear {{ " + "customer.first_name | default('friend') | " * 4 + "title }}"),
+        ("live_runs", 102, "final_text", "a", "Dear {{\n name\n}}"), ("live_runs", 103, "final_text", "b", "Error 1020 Ray ID 7d"), ("live_runs", 104, "final_text", "b", "Pagina non trovata"),
+        ("live_runs", 105, "final_text", "b", "The harbour museum opens at ten. " + "It shows boats, nets and tools of the people who fished here, and more " * 6 + "for all."),
+        ("live_runs", 106, "final_text", None, None), ("live_runs", 107, "final_text", None, " \n\t"),
+    ]
+    df = spark.createDataFrame(rows, "src string, rec_id long, field string, website string, text string").withColumn("kind", F.lit("clash"))
+    got = {r.rec_id: r.kind for r in residue.residue(df).collect()}
+    assert {i for i in got if i < 100} == set(range(41)) and {got[i] for i in range(41)} == {"notice"}
+    assert {i: k for i, k in got.items() if i >= 100} == {100: "error", 101: "placeholder", 102: "placeholder", 103: "error", 104: "error"}
+    assert residue.residue(df.limit(0)).count() == 0
