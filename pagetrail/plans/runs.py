@@ -14,7 +14,7 @@ from pagetrail.operators import asof, calibrate, cases, evaluate, memory, route,
 from pagetrail.sources.tables import nested_table, table, utc
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def history(spark: SparkSession, sf_dir: str, planned: bool = False) -> DataFrame:
     """Adapter: a run's steps as its history, in array order; kind from the operation (WAIT is a wait), no role, no tools."""
     runs = table(spark, sf_dir, "live_runs", "run_id", "steps")
     rows = runs.select("run_id", F.posexplode("steps").alias("step", "s")).where("s is not null")
@@ -23,7 +23,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "step", F.col("s.operation").alias("operation"), kind.alias("kind"), F.col("s.action").alias("action"), F.col("s.text").alias("text"),
         F.col("s.url_before").alias("url_before"), F.col("s.url_after").alias("url"), F.col("s.page_changed").alias("page_changed"),
         F.lit("").alias("role"), F.lit(None).cast("boolean").alias("tool_ok"),
-        F.coalesce(F.trim("s.instruction") != "", F.lit(False)).alias("planned"),
+        *([F.coalesce(F.trim("s.instruction") != "", F.lit(False)).alias("planned")] if planned else []),
     )
 
 
@@ -54,7 +54,7 @@ def blocked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stalled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First step at which a run was stalled. Adapter: a step with an instruction was planned."""
-    rows = memory.stalled(memory.streaks(memory.attempts(history(spark, sf_dir)))).where("stalled")
+    rows = memory.stalled(memory.streaks(memory.attempts(history(spark, sf_dir, planned=True)))).where("stalled")
     return rows.groupBy("run_id").agg(F.min("step").alias("first_step"))
 
 
