@@ -52,7 +52,9 @@ def fit_temperatures(df: DataFrame, bucket: str, logits: str, target: str, round
             at = rows.withColumn("lo", F.lit(LOW)).withColumn("hi", F.lit(HIGH))
         temps = [F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.lit(i / (points - 1))) for i in range(points)]
         loss = [-F.aggregate(F.zip_with(log_softmax(F.col("z"), t), "y", lambda lp, y: lp * y), F.lit(0.0), lambda a, x: a + x) for t in temps]
-        got = at.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("from_t"), F.max("hi").alias("to_t"), *[F.avg(c).alias(f"l{i}") for i, c in enumerate(loss)]).limit(10_000).collect()
+        got = at.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("from_t"), F.max("hi").alias("to_t"), *[F.avg(c).alias(f"l{i}") for i, c in enumerate(loss)]).limit(10_001).collect()
+        if len(got) > 10_000:
+            raise ValueError("more than 10,000 buckets")
         for r in got:
             ts = grid(r["from_t"], r["to_t"], points)
             i = min(range(points), key=lambda j, r=r: r[f"l{j}"])
