@@ -115,6 +115,75 @@ def elements(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_key").cast("string"), "html").where("html is not null").mapInPandas(_batches, ELEMENTS)
 
 
+#: Elements whose text a page never shows.
+UNSHOWN = frozenset({"script", "style", "noscript", "template", "title"})
+
+
+class _Texts(HTMLParser):
+    """Collects the text nodes of a page in document order, squashed, until ``limit`` characters are reached."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__(convert_charrefs=True)
+        self.limit, self.length = limit, 0
+        self.lines: list[str] = []
+        self.open: list[str] = []
+        self.hidden: int | None = None  # the place in ``open`` of the outermost element that isn't shown
+        self.node: list[str] = []
+
+    def _end_node(self) -> None:
+        text = " ".join("".join(self.node).split()) if self.node else ""
+        self.node = []
+        if text and self.hidden is None and self.length < self.limit:
+            self.lines.append(text)
+            self.length += len(text)
+
+    def handle_starttag(self, tag, attrs):
+        self._end_node()
+        if tag not in VOID:
+            if self.hidden is None and tag in UNSHOWN:
+                self.hidden = len(self.open)
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] == tag:
+                self._end_node()
+                del self.open[i:]
+                if self.hidden is not None and self.hidden >= i:
+                    self.hidden = None
+                break
+
+    def handle_data(self, data):
+        self.node.append(data)
+
+    def handle_comment(self, data):
+        self._end_node()
+
+    def finish(self) -> str:
+        self.close()
+        self._end_node()
+        return "\n".join(self.lines)[: self.limit]
+
+
+def shown_text(page: str, limit: int) -> str:
+    p = _Texts(limit)
+    p.feed(page)
+    return p.finish()
+
+
+def visible_texts(pages: DataFrame, limit: int) -> DataFrame:
+    """The text of ``pages(page_key, html)``: their text nodes, whatever element they are in, until ``limit`` characters
+    are reached, joined by line breaks and cut there. Scripts, styles and the like show no text; where an element is on
+    the screen isn't known. Pages without text have no row."""
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [(key, shown_text(page, limit)) for key, page in zip(pdf["page_key"], pdf["html"], strict=True) if page]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["page_key", "text"])
+
+    return pages.select(F.col("page_key").cast("string"), "html").where("html is not null").mapInPandas(batches, "page_key string, text string")
+
+
 #: What counts as interactive.
 INTERACTIVE_TAGS = ["a", "button", "input", "textarea", "select", "summary"]
 ROLES = ["button", "link", "checkbox", "radio", "switch", "tab", "menuitem", "menuitemradio", "option", "gridcell", "combobox", "textbox", "searchbox", "spinbutton"]

@@ -49,12 +49,8 @@ def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text lines of a page until 6,000 characters are reached, joined and cut there."""
-    rows = H.elements(pages(spark, sf_dir)).where(F.col("tag").isin("h1", "p", "text") & (F.col("text") != ""))
-    w = Window.partitionBy("page_key").orderBy("pos")
-    run = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.withColumn("_run", run).where("_run < 6000").groupBy("page_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l"))
-    return kept.select("page_key", F.left(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit(6000)).alias("text"))
+    """Text nodes of a page until 6,000 characters are reached, joined and cut there."""
+    return H.visible_texts(pages(spark, sf_dir).select("page_key", "html"), 6000)
 
 
 def capped_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
