@@ -69,8 +69,9 @@ def case_summary(cases: DataFrame) -> DataFrame:
 
 
 def baseline_predictions(top: DataFrame) -> DataFrame:
-    """The model-free baseline: always CLICK, and for each operation the best ranked element. ``top`` has task_id, step, op, id."""
-    return top.groupBy("task_id", "step").agg(F.map_from_entries(F.collect_list(F.struct("op", "id"))).alias("targets")).select(
+    """The model-free baseline: always CLICK, and for each operation the best ranked element. ``top`` has task_id, step, op, id; a null op has no target."""
+    targets = F.map_from_entries(F.collect_list(F.when(F.col("op").isNotNull(), F.struct("op", "id"))))
+    return top.groupBy("task_id", "step").agg(targets.alias("targets")).select(
         "task_id", "step", F.lit("CLICK").alias("operation"), "targets", F.lit(None).cast("string").alias("error")
     )
 

@@ -106,10 +106,11 @@ def _scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "candidates", X.pool_key(F.col("pool_id")).alias("pool_id"), "id", "ops", "score").where("score is not null and not isnan(score)")
     one = rows.select("pool_id", "id", "score", F.explode("ops").alias("op"))
     best = one.groupBy("pool_id", "op").agg(F.min_by("id", F.struct((-F.col("score")).alias("m"), "id")).alias("id"))
-    key = F.regexp_extract("pool_id", "^(.*):([0-9]+)$", 1)
-    top = best.where(~F.col("pool_id").startswith("live:")).select(key.alias("task_id"), F.regexp_extract("pool_id", "^(.*):([0-9]+)$", 2).cast("int").alias("step"), "op", "id")
+    # a pool that isn't named <task id>:<step> belongs to no case row
+    name = r"(?s)^(.*):([0-9]+)$"
+    top = best.where(~F.col("pool_id").startswith("live:")).select(F.regexp_extract("pool_id", name, 1).alias("task_id"), F.regexp_extract("pool_id", name, 2).try_cast("int").alias("step"), "op", "id")
     scored = step_cases(spark, sf_dir, "step", "gold_op", "gold_id", "valid_gold", "gold_in_shortlist", "drop_reason")
-    return evaluate.outcomes(scored, evaluate.baseline_predictions(top))
+    return evaluate.outcomes(scored, evaluate.baseline_predictions(top.where("step is not null")))
 
 
 def micro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
