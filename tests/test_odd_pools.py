@@ -20,3 +20,8 @@ def sf(spark, tmp_path_factory):
 def test_micro_metrics(spark, sf):
     got = runs.micro_metrics(spark, sf).first()
     assert (got.steps, got.scored, got.op_acc, got.element_acc_given_op, got.step_success_scored) == (3, 3, 0.6667, 0.3333, 0.3333)
+
+
+def test_macro_metrics(spark, sf):
+    got = runs.macro_metrics(spark, sf).first()
+    assert (got.tasks, got.op_acc_macro, got.element_acc_macro, got.success_rate) == (1, 0.6667, 0.3333, 0.0)
